@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +60,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(conf).delete(target, True)
+
+
+def ship(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """Send ``thing``, of known size, to the executors once. The function returned gives it there; a Python worker keeps the last thing
+    shipped from task to task, with whatever it has learnt in between."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    name = uuid.uuid4().hex
+
+    def get() -> Any:
+        kept = sys.__dict__.setdefault("_tidegauge_shipped", {})
+        if name not in kept:
+            kept.clear()
+            kept[name] = pickle.loads(sent.value)
+        return kept[name]
+
+    return get

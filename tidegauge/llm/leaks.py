@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.plaintext import words
+from tidegauge.session import ship
 
 #: Length of the q-grams, in characters of the stream: 6 bits each, so that a q-gram is one exact 64-bit number.
 Q = 8
@@ -185,12 +186,11 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Items are the side whose size is bounded (and checked): they are collected, indexed once and sent to the executors; documents are read in one
     narrow pass, whole, in batches, without a shuffle. Null and empty texts on either side match nothing; items under RUN_WORDS words can leak
     by their share only; repeated documents are each reported. Empty tables give an empty result."""
-    spark = documents.sparkSession
     rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("long"), item_text).where(F.col(item_id).isNotNull()).collect()]
-    index = spark.sparkContext.broadcast(ItemIndex.build(sorted(rows, key=lambda r: r[0])))
+    index = ship(documents.sparkSession, ItemIndex.build(sorted(rows, key=lambda r: r[0])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = index.value
+        items = index()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             held, chars, where = [], 0, []

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.session import ship
+
 #: Where the public tokenizers lie; the files are read there and never copied.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 # Fixed value: the public pattern that cuts text into words before byte-level BPE.
@@ -161,10 +163,10 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """``doc_id, ids`` of each row: the token ids of its text, without special tokens, whose spelling is ordinary text. Null and empty texts
     give an empty array. One narrow pass: the compiled automaton (its size is that of the vocabulary) goes to the executors, texts are encoded whole
     where they are read, and nothing is shuffled. Repeated ids and other columns don't matter; an empty table gives an empty result."""
-    automaton = documents.sparkSession.sparkContext.broadcast(MergeAutomaton.load(vocabulary))
+    automaton = ship(documents.sparkSession, MergeAutomaton.load(vocabulary))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = automaton.value.encode
+        encode = automaton().encode
         for batch in batches:
             for begin in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(begin, 512)
@@ -182,11 +184,12 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 def decode_corpus(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, text`` of ``doc_id, ids``; the empty array gives ''. A null array gives null."""
-    automaton = encoded.sparkSession.sparkContext.broadcast(MergeAutomaton.load(vocabulary))
+    automaton = ship(encoded.sparkSession, MergeAutomaton.load(vocabulary))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = automaton().decode
         for batch in batches:
-            texts = [None if ids is None else automaton.value.decode(ids) for ids in batch.column(1).to_pylist()]
+            texts = [None if ids is None else decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(scan, "doc_id long, text string")

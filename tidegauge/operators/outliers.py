@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,6 +20,8 @@ HOUR_READINGS = 24
 SKETCH = 400
 #: Width of the time buckets that part a source's readings into tasks.
 BUCKET_US = 6 * 3600 * 1_000_000
+#: Sources of more readings are spread over tasks; there may be at most MOST_LARGE of them (they are named in the plan).
+LARGE_SOURCE, MOST_LARGE = 500_000, 10_000
 
 
 def run_lengths(df: DataFrame, source: list[str], at: str, order: list[str], tokens: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
@@ -65,49 +65,96 @@ def _fences(q1: Column, q2: Column, q3: Column, least: Column) -> tuple[Column,
     return q1 - FENCE * width, q3 + FENCE * width
 
 
-def normal_ranges(readings: DataFrame, source: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Fences per source and per (source, hour of day), from quantile sketches of the plausible values: those of the hours are built
-    map-side and merged across partitions, those of the source are merged from its hours."""
-    hours = readings.groupBy(*source, "hour", "least").agg(F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"), F.count(F.lit(1)).alias("n"))
-    hours = materialise(hours, "sketches")
-    merged = hours.groupBy(*source, "least").agg(F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"), F.sum("n").alias("n_source"))
+def normal_ranges(readings: DataFrame) -> DataFrame:
+    """One row per source with its fences and those of its hours of day (a map), from quantile sketches of the plausible values: sketches of the
+    hours are built map-side and merged across partitions, the source's own is merged from those of its hours."""
+    hours = readings.where("possible").groupBy("source", "hour", "least").agg(
+        F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+    h_low, h_high = _fences(*_quartiles(F.col("sketch")), F.col("least"))
+    context = F.when(F.col("n") >= HOUR_READINGS, F.struct("hour", F.struct(h_low.alias("low"), h_high.alias("high"))))
+    merged = hours.withColumn("context", context).groupBy("source", "least").agg(
+        F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"), F.sum("n").alias("n_source"), F.collect_list("context").alias("hours"))
     q = _quartiles(F.col("sketch"))
     low, high = _fences(*q, F.col("least"))
-    whole = merged.select(*source, "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"))
-    low, high = _fences(*_quartiles(F.col("sketch")), F.col("least"))
-    by_hour = hours.where(F.col("n") >= HOUR_READINGS).select(*source, "hour", low.alias("h_low"), high.alias("h_high"))
-    return whole, by_hour
+    return merged.select(
+        "source", "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"),
+        F.map_from_entries("hours").alias("hours"))
 
 
-def implausible(readings: DataFrame, source: list[str]) -> DataFrame:
-    """``id, reason`` ('stuck' or 'spike') of the readings that don't fit their source.
+def _far(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Adds the source's figures and ``far``: outside the fences both of the source and of the hour, if that is a context."""
+    joined = rows.join(ranges, "source")
+    outside = lambda low, high: (F.col("value") < low) | (F.col("value") > high)
+    context = F.try_element_at("hours", F.col("hour"))
+    far = F.col("possible") & outside(F.col("low"), F.col("high")) & F.coalesce(outside(context["low"], context["high"]), F.lit(True))
+    return joined.withColumn("far", far).drop("hours", "low", "high")
 
-    ``readings``: the columns of ``source``, ``id`` (unique), ``at`` (reading time, us), ``tie`` (order of equal times), ``value`` (double, not null),
-    ``possible`` (boolean: impossible values interrupt runs but don't count towards what is normal), ``least`` (the smallest width of a fence unit).
 
-    Stuck: a run of STUCK or more equal values, if the source has other values beside single excursions. Spike: outside the fences both of the source and
-    of its hour of day, in an excursion of at most BURST readings (in and out by a jump across the fence), such excursions being at most FEW of the source's
-    readings. Sources whose name is null are not judged. An empty table gives an empty result."""
-    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in source])
-    rows = readings.where(known).withColumn("hour", F.pmod(F.floor(F.col("at") / 3_600_000_000), F.lit(24)).cast("int"))
-    rows = materialise(rows, "readings")
-    whole, by_hour = normal_ranges(rows.where("possible"), source)
-    judged = rows.join(whole, source).join(by_hour, [*source, "hour"], "left")
-    outside = lambda low, high: (F.col("value") < F.col(low)) | (F.col("value") > F.col(high))
-    judged = judged.withColumn(
-        "far", F.col("possible") & outside("low", "high") & F.coalesce(outside("h_low", "h_high"), F.lit(True))
-    )
-    runs = run_lengths(
-        judged.select(*source, "id", "at", "tie", "value", "possible", "far", "n_source", "q1", "q2", "q3"),
-        source, "at", ["at", "tie", "id"], ["value", "far"],
-    )
+def _reason(runs: DataFrame) -> DataFrame:
+    """``reason`` from ``run_value``, ``run_far`` and what the source's other readings are."""
     runs = runs.withColumn("burst", F.col("far") & (F.col("run_far") <= BURST))
-    per_source = runs.groupBy(*source).agg(
-        F.count_if("burst").alias("n_burst"),
-        F.count_if(~F.col("burst") & F.col("possible") & (F.col("value") != F.col("q2"))).alias("n_other"),
-    )
-    told = runs.join(per_source, source)
+    other = ~F.col("burst") & F.col("possible") & (F.col("value") != F.col("q2"))
+    counts = runs.groupBy("source").agg(F.count_if(F.col("burst") & F.col("leads")).alias("n_burst"), F.count_if(other & F.col("leads")).alias("n_other"))
+    told = runs.where((F.col("run_value") >= STUCK) | F.col("burst")).join(counts, "source")
     few = F.col("n_burst") <= F.greatest(F.lit(BURST), F.col("n_source") * FEW)
     changes = (F.col("q3") > F.col("q1")) | (F.col("n_other") >= 3)
     reason = F.when((F.col("run_value") >= STUCK) & changes & F.col("possible"), "stuck").when(F.col("burst") & few, "spike")
-    return told.select("id", *source, reason.alias("reason")).where("reason is not null")
+    return told.select("source", "id", reason.alias("reason")).where("reason is not null")
+
+
+def _whole_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Sources of bounded size: one shuffle by source, then windows within it. Deliveries of a message follow its first one and share its run."""
+    judged = _far(rows, ranges)
+    deliveries = W.partitionBy("source", "message").orderBy("received", "id")
+    judged = judged.withColumns({
+        "k": F.row_number().over(deliveries), "first_at": F.first("at").over(deliveries), "first_received": F.first("received").over(deliveries),
+        "first_id": F.first("id").over(deliveries), "first_value": F.first("value").over(deliveries), "first_far": F.first("far").over(deliveries)})
+    judged = judged.withColumns({"leads": F.col("k") == 1, "value": F.col("first_value"), "far": F.col("first_far")})
+    order = W.partitionBy("source").orderBy("first_at", "first_received", "first_id", "k")
+    for t in ("value", "far"):
+        judged = judged.withColumn(f"_c_{t}", F.when(F.lag(F.struct(t)).over(order) == F.struct(t), 0).otherwise(1))
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    judged = judged.withColumns({f"_r_{t}": F.sum(f"_c_{t}").over(so_far) for t in ("value", "far")})
+    for t in ("value", "far"):
+        judged = judged.withColumn(f"run_{t}", F.count_if("leads").over(W.partitionBy("source", f"_r_{t}")))
+    return _reason(judged.select("source", "id", "value", "possible", "far", "leads", "run_value", "run_far", "n_source", "q1", "q2", "q3"))
+
+
+def _split_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Sources too large for a task: first deliveries by an aggregate over messages, runs by time buckets and stitching; what is found of a message
+    is then reported for its other deliveries."""
+    own = F.min(F.struct("received", "id", "at", "hour", "value", "possible")).alias("m")
+    rows = materialise(rows, "large-sources")
+    once = materialise(rows.groupBy("source", "message").agg(own).select("source", "message", "m.*").withColumn("tie", F.col("received")), "messages")
+    runs = run_lengths(
+        _far(once, F.broadcast(ranges)).withColumn("leads", F.lit(True)),
+        ["source"], "at", ["at", "tie", "id"], ["value", "far"],
+    )
+    found = materialise(_reason(runs).join(once.select("source", "id", "message"), ["source", "id"]), "large-found")
+    copies = rows.join(found.select("source", "message", "reason", F.col("id").alias("first_id")), ["source", "message"]).where("id != first_id")
+    return found.select("source", "id", "reason").unionByName(copies.select("source", "id", "reason"))
+
+
+def implausible(readings: DataFrame, large: int = LARGE_SOURCE) -> DataFrame:
+    """``source, id, reason`` ('stuck' or 'spike') of the deliveries whose reading doesn't fit its source.
+
+    ``readings``: ``source`` (string), ``id`` (unique), ``message`` (binary or string; deliveries with the same one are one reading, of which the earliest
+    ``received`` counts; must not be null), ``at`` and ``received`` (us), ``value`` (double, not null), ``possible`` (boolean: impossible values interrupt runs
+    but don't count towards what is normal), ``least`` (the least width of a fence unit, one per source).
+
+    Stuck: a run of STUCK or more equal values, if the source has other values beside single excursions. Spike: outside the fences both of the source and
+    of its hour of day (where that has HOUR_READINGS), in an excursion of at most BURST readings, into and out of which the values jump across the fence; such excursions
+    must be at most FEW of the source's readings. Sources without a name aren't judged. An empty table gives an empty result. Sources of more than
+    ``large`` readings take a way that spreads them over tasks, with the same result."""
+    hour = F.pmod(F.floor(F.col("at") / 3_600_000_000), F.lit(24)).cast("int")
+    rows = readings.where("source is not null and message is not null and value is not null").withColumn("hour", hour)
+    ranges = materialise(normal_ranges(rows), "ranges")
+    big = ranges.where(F.col("n_source") > large)
+    names = [r.source for r in big.select("source").limit(MOST_LARGE + 1).collect()]
+    rows = rows.drop("least")
+    if not names:
+        return _whole_sources(rows, ranges)
+    if len(names) > MOST_LARGE:
+        raise ValueError(f"more than {MOST_LARGE} sources of over {large} readings; raise `large`")
+    of_big = F.col("source").isin(names)
+    return _whole_sources(rows.where(~of_big), ranges.where(~of_big)).unionByName(_split_sources(rows.where(of_big), ranges.where(of_big)))

@@ -178,45 +178,38 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return changed.withColumnRenamed("source", "bk_host_id")
 
 
-#: Of each table: its measurement, the largest possible value, and the least width of a fence unit.
-MEASURED = {"net_test_data": ("data.cpu.total_usage", 100.0, 0.1), "swap_test_data": ("data.mem.swap_in", 1e9, 1.0)}
+#: Of each table: the letter its sources start with, its measurement, the largest possible value, and the least width of a fence unit.
+MEASURED = {"net_test_data": ("n", "data.cpu.total_usage", 100.0, 0.1), "swap_test_data": ("s", "data.mem.swap_in", 1e9, 1.0)}
 
 
 def _readings(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    value, most, least = MEASURED[name]
+    letter, value, most, least = MEASURED[name]
     v = F.col("value")
     rows = table(spark, folder, name).select(
-        F.lit(name).alias("source_table"), "rec_id", dedup.folded(F.col("bk_agent_id")).alias("agent"), message_key().alias("key"),
-        ntz_us(F.col("recv_time")).alias("received_us"), F.col(value).cast("double").alias("value"),
+        "rec_id", F.concat(F.lit(letter), dedup.folded(F.col("bk_agent_id"))).alias("source"), "dataid", "gseindex",
+        ntz_us(F.col("recv_time")).alias("received"), F.col(value).cast("double").alias("value"),
         F.col("data.utctime").alias("utctime"), F.col("data.datetime").alias("local"), F.col("data.timezone").cast("string").alias("zone"),
     ).where(v.isNotNull())
-    received = F.col("received_us")
+    received = F.col("received")
     rows = rows.withColumn("utc_us", utc_us(spark, F.col("utctime"))).withColumn("told", usable(F.col("utc_us"), received))
-    # Only where the UTC text is of no use is the local one read.
+    # Only where the UTC text is of no use is the local one read, and the time of receipt where neither is.
     local = F.when(F.col("told").isNull(), instant_us(spark, F.col("local"), F.col("zone"), named_zones=False))
-    rows = rows.withColumn("local_us", local)
+    at = F.coalesce("told", usable(local, received), "received")
+    # Within a source a message is told by the rest of its key; a row with a null key part is a message of its own.
+    message = F.coalesce(F.concat_ws(":", F.col("dataid").cast("string"), F.col("gseindex").cast("string")), F.lit(""))
+    whole = F.col("dataid").isNotNull() & F.col("gseindex").isNotNull()
+    message = F.when(whole, message).otherwise(F.concat(F.lit("#"), F.col("rec_id").cast("string")))
     possible = ~F.isnan(v) & v.between(0.0, most)
-    return rows.select(
-        "source_table", "rec_id", "agent", "key", "received_us", F.coalesce("told", usable(F.col("local_us"), received), "received_us").alias("at"),
-        "value", possible.alias("possible"), F.lit(least).alias("least"))
+    return rows.select("source", F.col("rec_id").alias("id"), message.alias("message"), "received", at.alias("at"), "value",
+        possible.alias("possible"), F.lit(least).alias("least"), F.lit(name).alias("source_table"))
 
 
 @registry.add("p4_found")
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """A message's deliveries are one reading (the earliest counts); what is found of it is reported for all of them."""
-    rows = _readings(spark, folder, "net_test_data").unionByName(_readings(spark, folder, "swap_test_data"))
-    impossible = rows.where(~F.col("possible")).select("source_table", "rec_id")
-    hi, lo = F.xxhash64("key"), F.xxhash64(F.lit("second"), F.reverse("key"), "key")
-    keyed = rows.where("key is not null").select("source_table", "rec_id", "agent", hi.alias("hi"), lo.alias("lo"), "received_us", "at", "value", "possible", "least")
-    first = F.min(F.struct("received_us", "rec_id", "agent", "at", "value", "possible", "least")).alias("m")
-    once = keyed.groupBy("source_table", "hi", "lo").agg(first, F.count(F.lit(1)).alias("copies")).select("source_table", "hi", "lo", "copies", "m.*")
-    own = rows.where("key is null and agent is not null").select(
-        "source_table", F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit(1).cast("long").alias("copies"),
-        "received_us", "rec_id", "agent", "at", "value", "possible", "least")
-    readings = once.unionByName(own).withColumn("id", F.struct("rec_id", "hi", "lo", "copies")).withColumn("tie", F.col("received_us"))
-    found = outliers.implausible(readings.select("source_table", "agent", "id", "at", "tie", "value", "possible", "least"), ["source_table", "agent"])
-    found = found.select("source_table", "id.*")
-    found = materialise(found, "implausible")
-    repeated = found.where("copies > 1").select("source_table", "hi", "lo")
-    copies = keyed.where("possible").join(repeated, ["source_table", "hi", "lo"], "left_semi").select("source_table", "rec_id")
-    return impossible.unionByName(found.where("copies = 1").select("source_table", "rec_id")).unionByName(copies)
+    both = _readings(spark, folder, "net_test_data").unionByName(_readings(spark, folder, "swap_test_data"))
+    impossible = both.where(~F.col("possible")).select("source_table", F.col("id").alias("rec_id"))
+    found = outliers.implausible(both.drop("source_table")).where("reason is not null")
+    names = F.create_map(*[F.lit(x) for name, (letter, *_) in MEASURED.items() for x in (letter, name)])
+    found = found.select(F.element_at(names, F.substring("source", 1, 1)).alias("source_table"), F.col("id").alias("rec_id"))
+    return impossible.unionByName(found)

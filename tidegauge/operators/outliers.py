@@ -76,8 +76,9 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
         F.kll_merge_agg_double("sketch", F.lit(SKETCH)).alias("sketch"), F.sum("n").alias("n_source"), F.collect_list("context").alias("hours"))
     q = _quartiles(F.col("sketch"))
     low, high = _fences(*q, F.col("least"))
+    width = (high - q[2]) / FENCE
     return merged.select(
-        "source", "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"),
+        "source", "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"), width.alias("width"),
         F.map_from_entries("hours").alias("hours"))
 
 
@@ -91,11 +92,21 @@ def _far(rows: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _reason(runs: DataFrame) -> DataFrame:
-    """``reason`` from ``run_value``, ``run_far`` and what the source's other readings are."""
+    """``reason`` from ``run_value``, ``run_far`` and what the source's other readings are. What lies outside the fences for longer than a burst (and
+    isn't stuck) is a level of the source; a burst up to such a level, or down to it, returns to it and is no spike."""
     runs = runs.withColumn("burst", F.col("far") & (F.col("run_far") <= BURST))
+    level = F.col("far") & ~F.col("burst") & (F.col("run_value") < STUCK)
     other = ~F.col("burst") & F.col("possible") & (F.col("value") != F.col("q2"))
-    counts = runs.groupBy("source").agg(F.count_if(F.col("burst") & F.col("leads")).alias("n_burst"), F.count_if(other & F.col("leads")).alias("n_other"))
-    told = runs.where((F.col("run_value") >= STUCK) | F.col("burst")).join(counts, "source")
+    about = runs.groupBy("source").agg(
+        F.count_if(other & F.col("leads")).alias("n_other"),
+        F.max(F.when(level & (F.col("value") > F.col("q3")), F.col("value"))).alias("top"),
+        F.min(F.when(level & (F.col("value") < F.col("q1")), F.col("value"))).alias("bottom"),
+    )
+    told = runs.where((F.col("run_value") >= STUCK) | F.col("burst")).join(about, "source")
+    beyond = F.when(F.col("value") > F.col("q3"), F.col("top").isNull() | (F.col("value") > F.col("top") + F.col("width"))).otherwise(
+        F.col("bottom").isNull() | (F.col("value") < F.col("bottom") - F.col("width")))
+    told = told.withColumn("burst", F.col("burst") & beyond)
+    told = told.withColumn("n_burst", F.count_if(F.col("burst") & F.col("leads")).over(W.partitionBy("source")))
     few = F.col("n_burst") <= F.greatest(F.lit(BURST), F.col("n_source") * FEW)
     changes = (F.col("q3") > F.col("q1")) | (F.col("n_other") >= 3)
     reason = F.when((F.col("run_value") >= STUCK) & changes & F.col("possible"), "stuck").when(F.col("burst") & few, "spike")
@@ -117,7 +128,7 @@ def _whole_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     judged = judged.withColumns({f"_r_{t}": F.sum(f"_c_{t}").over(so_far) for t in ("value", "far")})
     for t in ("value", "far"):
         judged = judged.withColumn(f"run_{t}", F.count_if("leads").over(W.partitionBy("source", f"_r_{t}")))
-    return _reason(judged.select("source", "id", "value", "possible", "far", "leads", "run_value", "run_far", "n_source", "q1", "q2", "q3"))
+    return _reason(judged.select("source", "id", "value", "possible", "far", "leads", "run_value", "run_far", "n_source", "q1", "q2", "q3", "width"))
 
 
 def _split_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:

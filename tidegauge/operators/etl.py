@@ -26,7 +26,7 @@ def parse_json(c: Column) -> Column:
 def json_with_rest(df: DataFrame, column: str, known: list[str]) -> DataFrame:
     """Adds the known keys as columns, ``ext_json`` (the other keys as JSON), ``raw`` (the text, kept if it is no object) and ``clean_failed``."""
     m = F.from_json(F.col(column), "map<string,string>")
-    is_object = F.col(column).rlike(r"^\s*\{") & F.try_parse_json(F.col(column)).isNotNull()
+    is_object = F.col(column).rlike(r"^\s*\{") & ~F.col(column).rlike(r"\}\s*\{") & F.try_parse_json(F.col(column)).isNotNull()
     df = df.withColumn("_m", F.when(is_object, m))
     rest = F.map_filter("_m", lambda k, _: ~k.isin(known))
     df = df.withColumns({k: F.try_element_at("_m", F.lit(k)) for k in known})

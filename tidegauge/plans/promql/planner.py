@@ -417,10 +417,8 @@ def quantile_of(v: Column, q: float) -> Column:
 def _regression(at: Column) -> tuple[Column, Column, Column]:
     """Slope per second, value at ``at``, and number of points of a window's least-squares line."""
     x, y = (F.col("ts") - at) / 1000.0, F.col("v")
-    n, sx, sy, sxy, sxx = F.count(F.lit(1)), F.sum(x), F.sum(y), F.sum(x * y), F.sum(x * x)
-    spread, joint = sxx - sx * sx / n, sxy - sx * sy / n
-    slope = F.when(F.min(y) == F.max(y), F.lit(0.0)).otherwise(divided(joint, spread))
-    return slope, sy / n - slope * sx / n, n
+    slope = F.when(F.min(y) == F.max(y), F.lit(0.0)).otherwise(F.regr_slope(y, x))
+    return slope, F.when(F.min(y) == F.max(y), F.min(y)).otherwise(F.regr_intercept(y, x)), F.count(F.lit(1))
 
 
 def _holt_winters(x: Column, sf: float, tf: float) -> Column:

@@ -53,15 +53,29 @@ def _match(sql: str) -> str:
     return re.sub(r"(?i)([\w.`\[\]']+)\s+(MATCH_PHRASE_PREFIX|MATCH_PHRASE_EDGE|MATCH_PHRASE|MATCH_ANY|MATCH_ALL)\s+('(?:[^']|'')*')", made, sql)
 
 
+def _at_top(sql: str, words: str, begin: int = 0) -> int:
+    """Where one of the words (alternatives of a regular expression) stands outside brackets and quotes; -1 if nowhere."""
+    depth, at = 0, 0
+    for t in _TOKEN.findall(sql):
+        depth += (t == "(") - (t == ")")
+        if not depth and at >= begin and re.match(rf"(?is)(?:{words})\b", sql[at:]) and re.match(r"\w", t):
+            return at
+        at += len(t)
+    return -1
+
+
 def _qualify(sql: str) -> str:
     """SELECT ... QUALIFY c as a filter over a subquery that computes the windows."""
-    m = re.search(r"(?is)^(\s*(?:with\b.*?\)\s*)?)(select\b.*?)\bqualify\b(.*?)(\border\s+by\b.*|\blimit\b.*)?$", sql)
-    if not m or m[2].lower().count("(select") != m[2].lower().count("(select"):
+    at = _at_top(sql, "qualify")
+    if at < 0:
         return sql
-    head, body, condition, tail = m[1], m[2], m[3].strip(), m[4] or ""
+    begin = _at_top(sql, "select")
+    end = _at_top(sql, r"order\s+by|limit", at)
+    end = len(sql) if end < 0 else end
+    head, body, condition, tail = sql[:begin], sql[begin:at].strip(), sql[at + 7 : end].strip(), sql[end:]
     if not re.search(r"(?i)\bover\b", condition):  # over the select list's own names
-        return f"{head}SELECT * FROM ({body.strip()}) WHERE {condition} {tail}"
-    body = re.sub(r"(?is)^select\b", f"SELECT ({condition}) AS __qualified, ", body.strip(), count=1)
+        return f"{head}SELECT * FROM ({body}) WHERE {condition} {tail}"
+    body = re.sub(r"(?is)^select\b", f"SELECT ({condition}) AS __qualified, ", body, count=1)
     return f"{head}SELECT * EXCEPT (__qualified) FROM ({body}) WHERE __qualified {tail}"
 
 

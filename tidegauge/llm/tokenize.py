@@ -55,6 +55,11 @@ class MergeAutomaton:
                 continue  # a second way to the same token: only the first builds it
             self.left[w], self.right[w], self.rank[w] = u, v, k
             self.cut[u * n + v] = k
+        # A token lives if its right part could follow its left part when its merge came; the others never occur.
+        self.lives = [r < 0 for r in self.rank]
+        for u, v, w in merges:
+            if (self.left[w], self.right[w]) == (u, v):
+                self.lives[w] = self.lives[u] and self.lives[v] and self.leads(u, v, self.rank[w])
         self.table: dict[int, bool] = {}
         # Tokens by their first bytes: every prefix of a token, with the token's id if it is one.
         self.prefixes: dict[bytes, int] = {}
@@ -88,8 +93,8 @@ class MergeAutomaton:
             if a > b:
                 t, before = right[t], a  # the state came into being as that of the right part
             elif b > a:
-                if t == left[s] == right[s]:
-                    return False  # the gadget of a doubled token has cut this very transition
+                if not self.lives[s] or t == left[s] == right[s]:
+                    return False  # never made, or the gadget of a doubled token has cut this very transition
                 s, before = left[s], b  # entered wherever the left part could be
             else:
                 if left[t] == right[t]:
@@ -100,7 +105,7 @@ class MergeAutomaton:
         """Token ids of one word by the transition table."""
         whole = self.ids.get(word)
         n = len(word)
-        if whole is not None and (n == 1 or self._accepted_alone(whole)):
+        if whole is not None and self.lives[whole]:
             return (whole,)
         prefixes, table, width = self.prefixes, self.table, self.width
         last = [-1] * (n + 1)
@@ -114,7 +119,7 @@ class MergeAutomaton:
                     break
                 if token >= 0 and last[j] < 0:
                     if state < 0:
-                        ok = self._accepted_alone(token)
+                        ok = self.lives[token]
                     else:
                         key = state * width + token
                         ok = table.get(key)
@@ -131,15 +136,6 @@ class MergeAutomaton:
             n = came[n]
         return tuple(reversed(out))
 
-    def _accepted_alone(self, token: int) -> bool:
-        """Whether BPE makes this token of its own bytes: its parts must follow one another until its merge comes."""
-        key = -1 - token
-        ok = self.table.get(key)
-        if ok is None:
-            u, v = self.left[token], self.right[token]
-            ok = self.table[key] = u < 0 or (self._accepted_alone(u) and self._accepted_alone(v) and self.leads(u, v, self.rank[token]))
-        return ok
-
     def encode(self, text: str, out: list[int], split=regex.compile(PATTERN).findall) -> None:
         words = self.words
         for w in split(text):

@@ -8,6 +8,7 @@ document the weighted mean of its nodes. The grid has a fixed number of nodes, s
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -116,7 +117,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_i
     graded = linked.where("grade is not null")
 
     def score(values: np.ndarray, nodes: list[Column], weights: list[Column]) -> Column:
-        at = F.lit(values.tolist())
+        at = F.from_json(F.lit(json.dumps(values.tolist())), "array<double>")  # one literal once the plan is optimised
         return sum((F.get(at, n) * w for n, w in zip(nodes[1:], weights[1:], strict=True)), F.get(at, nodes[0]) * weights[0])
 
     four = [F.col("nodes")[i] for i in range(4)], [F.col("weights")[i] for i in range(4)]

@@ -319,3 +319,117 @@ def merge_stats(df: DataFrame, keys: list[str], ignored: list[str], at: str, int
     buckets = rows.select(*keys, "interval", F.explode("buckets").alias("b", "n")).groupBy(*keys, "interval", "b").agg(F.sum("n").alias("n"))
     merged = buckets.groupBy(*keys, "interval").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("b", "n")))).alias("buckets"))
     return sums.join(merged, [*keys, "interval"], "left")
+
+
+def capped_series(df: DataFrame, keys: list[str], at: str, most: int, idle_ms: int | None = None) -> DataFrame:
+    """Series caps: only the first ``most`` series (by first appearance, then key) are let in; those let in always stay. With ``idle_ms`` a series that was silent so long
+    counts as new at its return, so each of its stretches competes for a place."""
+    if idle_ms is not None:
+        w = W.partitionBy(*keys).orderBy(at)
+        new = F.when(F.col(at) - F.lag(at).over(w) <= idle_ms, 0).otherwise(1)
+        df = df.withColumn("_new", new).withColumn("_life", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new")
+        keys = [*keys, "_life"]
+    first = df.groupBy(*keys).agg(F.min(at).alias("_first")).orderBy("_first", *keys).limit(most).drop("_first")
+    return df.join(first, keys, "left_semi").drop("_life")
+
+
+def span_rows(df: DataFrame) -> DataFrame:
+    """Spans flattened for storage: elapsed time, flags for errors and roots, counts of events and links, the status as text."""
+    names = F.create_map(F.lit(0), F.lit("UNSET"), F.lit(1), F.lit("OK"), F.lit(2), F.lit("ERROR"))
+    return df.select("trace_id", "span_id", "parent_span_id", "span_name", "kind", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("elapsed_time"),
+        F.try_element_at(names, F.coalesce("status.code", F.lit(0))).alias("status"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events"), F.coalesce(F.size("links"), F.lit(0)).alias("n_links"),
+        F.try_element_at("resource", F.lit("service.name")).alias("service"))
+
+
+def span_events(df: DataFrame) -> DataFrame:
+    """One row per event of a span, with its place: the nested iteration of span batches."""
+    return df.select("trace_id", "span_id", F.posexplode("events").alias("place", "e")).select("trace_id", "span_id", "place", "e.name", "e.timestamp")
+
+
+def log_rows(df: DataFrame, line: str, keys: list[str]) -> DataFrame:
+    """Log lines with what they say in key=value form: one column per key, null where it isn't there."""
+    value = lambda k: F.regexp_extract(F.col(line), rf'(?:^|\s){k}=(?:"([^"]*)"|(\S+))', 1)
+    bare = lambda k: F.regexp_extract(F.col(line), rf'(?:^|\s){k}=(?:"([^"]*)"|(\S+))', 2)
+    return df.withColumns({k: F.nullif(F.concat(value(k), bare(k)), F.lit("")) for k in keys})
+
+
+def scaler_rows(df: DataFrame, metrics: str = "metrics") -> DataFrame:
+    """Autoscaler status {name, metrics[{type, name, current, target}]} as one sample per metric and figure."""
+    rows = df.select("name", F.explode(metrics).alias("m"))
+    figures = F.array(F.struct(F.lit("current").alias("figure"), F.col("m.current").cast("double").alias("v")), F.struct(F.lit("target").alias("figure"), F.col("m.target").cast("double").alias("v")))
+    return rows.select("name", F.col("m.type").alias("type"), F.col("m.name").alias("metric"), F.inline(figures)).where("v is not null")
+
+
+def profile_samples(payload: bytes) -> list[tuple[list[str], list[int]]]:
+    """The samples of a pprof profile (gzip or plain protobuf): stack of function names, leaf first, and values."""
+    import gzip
+
+    data = gzip.decompress(payload) if payload[:2] == b"\x1f\x8b" else payload
+
+    def varint(b: bytes, i: int) -> tuple[int, int]:
+        n = shift = 0
+        while True:
+            n |= (b[i] & 0x7F) << shift
+            shift += 7
+            i += 1
+            if not b[i - 1] & 0x80:
+                return n, i
+
+    def fields(b: bytes):
+        i = 0
+        while i < len(b):
+            tag, i = varint(b, i)
+            kind = tag & 7
+            if kind == 0:
+                v, i = varint(b, i)
+            elif kind == 2:
+                size, i = varint(b, i)
+                v, i = b[i : i + size], i + size
+            else:
+                size = 8 if kind == 1 else 4
+                v, i = b[i : i + size], i + size
+            yield tag >> 3, v
+
+    def numbers(v) -> list[int]:
+        if isinstance(v, int):
+            return [v]
+        out, i = [], 0
+        while i < len(v):
+            n, i = varint(v, i)
+            out.append(n)
+        return out
+
+    texts, samples, places, functions = [], [], {}, {}
+    for number, v in fields(data):
+        if number == 6:
+            texts.append(v.decode("utf-8", "replace"))
+        elif number == 2:
+            stack, values = [], []
+            for n, x in fields(v):
+                (stack if n == 1 else values if n == 2 else []).extend(numbers(x) if n in (1, 2) else [])
+            samples.append((stack, values))
+        elif number == 4:
+            own, lines = 0, []
+            for n, x in fields(v):
+                if n == 1:
+                    own = x
+                elif n == 4:
+                    lines += [y for m, y in fields(x) if m == 1]
+            places[own] = lines
+        elif number == 5:
+            f = dict((n, x) for n, x in fields(v) if isinstance(x, int))
+            functions[f.get(1, 0)] = f.get(2, 0)
+    return [([texts[functions[f]] for place in stack for f in places.get(place, [])], values) for stack, values in samples]
+
+
+def profile_rows(df: DataFrame, payload: str = "value") -> DataFrame:
+    """Profiles (binary) as ``stack, values``: a row per sample."""
+    keys = [c for c in df.columns if c != payload]
+
+    def scan(batches):
+        for pdf in batches:
+            out = [(*[getattr(r, k) for k in keys], *s) for r in pdf.itertuples(index=False) for s in profile_samples(bytes(getattr(r, payload)))]
+            yield pd.DataFrame(out, columns=[*keys, "stack", "values"])
+
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("stack", T.ArrayType(T.StringType())), T.StructField("values", T.ArrayType(T.LongType()))])
+    return df.select(*keys, payload).mapInPandas(scan, schema)

@@ -167,3 +167,44 @@ def pipeline(nodes: dict[str, Callable[..., DataFrame]], edges: dict[str, list[s
             done[n] = nodes[n](*[done[i] for i in edges.get(n, [])])
         left = [n for n in left if n not in done]
     return done
+
+
+def terminating_pods(stream: DataFrame, pod: str, at: str, deleting: str, limit_s: int = 600) -> DataFrame:
+    """``pod, at, state`` whenever it changes: 'terminating' while a pod is being deleted, 'stuck' once that takes longer than ``limit_s``, 'recovered' if the deletion is withdrawn. What is known
+    of a pod lives in the stream's checkpoint, so a restart goes on where it was; pods not heard of for ten times the limit are forgotten."""
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=[pod, at, "state"])
+            return
+        since, last = state.get if state.exists else (None, "running")
+        rows = []
+        for t, d in sorted((int(t), bool(d)) for pdf in batches for t, d in zip(pdf[at], pdf[deleting], strict=True)):
+            since = (t if since is None else since) if d else None
+            now = ("stuck" if t - since >= limit_s else "terminating") if d else ("recovered" if last in ("terminating", "stuck") else "running")
+            if now != last and now != "running":
+                rows.append((name[0], t, now))
+            last = now
+        state.update((since, last))
+        state.setTimeoutDuration(limit_s * 10_000)
+        yield pd.DataFrame(rows, columns=[pod, at, "state"])
+
+    kind = stream.schema[pod].dataType.simpleString()
+    return stream.groupBy(pod).applyInPandasWithState(step, f"{pod} {kind}, {at} long, state string", "since long, last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def late_spans(history_path: str, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function for traces: of each batch, all spans known of the traces it touches go to ``sink`` (which sums them up anew), then the batch joins the history."""
+    from tidegauge.operators.topology import merged_traces
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        try:
+            history = spark.read.schema(batch.schema).parquet(history_path).where(F.col("batch") < batch_id).drop("batch") if batch_id else spark.createDataFrame([], batch.schema)
+        except Exception:  # noqa: BLE001 - no history yet
+            history = spark.createDataFrame([], batch.schema)
+        sink(merged_traces(history, batch), batch_id)
+        batch.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+
+    return each

@@ -1,8 +1,8 @@
 """Lucene-style query strings as column expressions.
 
 Grammar: words, "phrases", field:term, field:(...), field:[a TO b], field:{a TO b}, field:>n, /regex/, wildcards * and ?, boost ^n and fuzzy ~n (both read,
-neither changes what matches exactly), + - NOT ! AND OR && || and brackets. Terms side by side are alternatives unless marked: with + the
-marked ones are needed, with - they are excluded."""
+neither changes what matches exactly), + - NOT ! AND OR && || and brackets. Terms side by side are alternatives unless some are marked: then the ones
+with + are needed, those with - excluded, and the free ones change nothing. Excluding keeps rows without a value."""
 
 from __future__ import annotations
 
@@ -77,14 +77,19 @@ class _Parser:
         return self.tokens[self.i - 1][1]
 
     def disjunction(self, name: str | None):
-        """Clauses side by side; explicit OR separates, AND binds tighter."""
-        groups: list[list[tuple[str, object]]] = []
+        """Segments that OR separates; within a segment clauses stand side by side, and AND binds tighter."""
+        segments: list[list[tuple[str, object]]] = [[]]
         while self.kind() not in ("end", "close"):
             if self.kind() == "bool" and self.tokens[self.i][1] in ("OR", "||"):
                 self.take()
+                segments.append([])
                 continue
-            groups.append(self.conjunction(name))
-        return self.combined([c for g in groups for c in ([g[0]] if len(g) == 1 else [("", Logic("and", [self.marked(c) for c in g]))])])
+            g = self.conjunction(name)
+            segments[-1].append(g[0] if len(g) == 1 else ("", Logic("and", [self.marked(c) for c in g])))
+        made = [self.combined(x) for x in segments if x]
+        if not made:
+            raise LuceneError("an empty query")
+        return made[0] if len(made) == 1 else Logic("or", [p for m in made for p in (m.parts if isinstance(m, Logic) and m.op == "or" else [m])])
 
     def conjunction(self, name: str | None) -> list[tuple[str, object]]:
         out = [self.clause(name)]
@@ -98,21 +103,12 @@ class _Parser:
         return Logic("not", [c[1]]) if c[0] == "-" else c[1]
 
     def combined(self, clauses: list[tuple[str, object]]):
-        needed = [c for m, c in clauses if m == "+"]
-        excluded = [Logic("not", [c]) for m, c in clauses if m == "-"]
-        free = [c for m, c in clauses if not m]
-        if not clauses:
-            raise LuceneError("an empty query")
-        if not needed and not excluded:
-            return free[0] if len(free) == 1 else Logic("or", free)
-        must = needed + excluded
-        every = must[0] if len(must) == 1 else Logic("and", must)
-        if not free:
-            return every
-        if needed:  # the marked ones decide; free ones only rank
-            return every
-        some = free[0] if len(free) == 1 else Logic("or", free)
-        return Logic("and", [some, every])
+        """Marked clauses decide, free ones beside them only rank; without any, free ones are alternatives."""
+        must = [c for m, c in clauses if m == "+"] + [Logic("not", [c]) for m, c in clauses if m == "-"]
+        if must:
+            return must[0] if len(must) == 1 else Logic("and", must)
+        free = [c for _, c in clauses]
+        return free[0] if len(free) == 1 else Logic("or", free)
 
     def clause(self, name: str | None) -> tuple[str, object]:
         mark = ""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ _RUN = "prefix int, hi binary, lo binary, n long"
 
 def message_key(*parts: Column) -> Column:
     """A message's identifier; null if any part is null. Texts are compared without case and outer blanks."""
-    return F.when(~F.greatest(*[p.isNull() for p in parts]), F.concat_ws("\x1f", *[p.cast("string") for p in parts]))
+    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.concat_ws("\x1f", *[p.cast("string") for p in parts]))
 
 
 def folded(text: Column) -> Column:

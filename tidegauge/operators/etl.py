@@ -65,7 +65,8 @@ def jmes(expression: str):
     import json
 
     steps = [[s for s in re.findall(r"[\w\-]+|\[\*\]|\[-?\d+\]", alt)] for alt in re.split(r"\s*\|\|\s*", re.sub(r"\s*\|\s*(length\(@\)|join\('[^']*', *@\))\s*$", "", expression))]
-    after = re.search(r"\|\s*(length\(@\)|join\('([^']*)', *@\))\s*$", expression)
+    found = re.search(r"\|\s*(length\(@\)|join\('([^']*)', *@\))\s*$", expression)
+    after, glue = (found[1], found[2]) if found else ("", "")
 
     def walk(v, path):
         for i, s in enumerate(path):
@@ -87,7 +88,7 @@ def jmes(expression: str):
             return None
         v = next((x for x in (walk(doc, p) for p in steps) if x is not None), None)
         if v is not None and after:
-            v = len(v) if after[1].startswith("length") else after[2].join(map(str, v))
+            v = len(v) if after.startswith("length") else glue.join(map(str, v))
         return None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
     @F.pandas_udf("string")

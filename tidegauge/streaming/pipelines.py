@@ -171,13 +171,9 @@ def pipeline(nodes: dict[str, Callable[..., DataFrame]], edges: dict[str, list[s
 
 def terminating_pods(stream: DataFrame, pod: str, at: str, deleting: str, limit_s: int = 600) -> DataFrame:
     """``pod, at, state`` whenever it changes: 'terminating' while a pod is being deleted, 'stuck' once that takes longer than ``limit_s``, 'recovered' if the deletion is withdrawn. What is known
-    of a pod lives in the stream's checkpoint, so a restart goes on where it was; pods not heard of for ten times the limit are forgotten."""
+    of a pod lives in the stream's checkpoint, so a restart goes on where it was; only pods being deleted have state."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([], columns=[pod, at, "state"])
-            return
         since, last = state.get if state.exists else (None, "running")
         rows = []
         for t, d in sorted((int(t), bool(d)) for pdf in batches for t, d in zip(pdf[at], pdf[deleting], strict=True)):
@@ -186,12 +182,15 @@ def terminating_pods(stream: DataFrame, pod: str, at: str, deleting: str, limit_
             if now != last and now != "running":
                 rows.append((name[0], t, now))
             last = now
-        state.update((since, last))
-        state.setTimeoutDuration(limit_s * 10_000)
+        if since is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((since, last))
         yield pd.DataFrame(rows, columns=[pod, at, "state"])
 
     kind = stream.schema[pod].dataType.simpleString()
-    return stream.groupBy(pod).applyInPandasWithState(step, f"{pod} {kind}, {at} long, state string", "since long, last string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(pod).applyInPandasWithState(step, f"{pod} {kind}, {at} long, state string", "since long, last string", "append", GroupStateTimeout.NoTimeout)
 
 
 def late_spans(history_path: str, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:

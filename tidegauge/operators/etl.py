@@ -355,3 +355,20 @@ def inferred_fields(df: DataFrame, column: str, fraction: float = 0.01, seed: in
 
 def decoded(c: Column, charset: str) -> Column:
     return F.decode(c, charset)
+
+
+def event_records(df: DataFrame, name: Column, at: Column, content: Column, dimensions: Column) -> DataFrame:
+    """Standard events: name, time (ms), content and dimensions as texts; events without a name or time are left out."""
+    rows = df.select(name.alias("event_name"), at.cast("long").alias("timestamp"), content.cast("string").alias("content"), without_empty(as_texts(dimensions)).alias("dimensions"))
+    return rows.where("event_name is not null and event_name != '' and timestamp is not null")
+
+
+def level_as_json(df: DataFrame, levels: str, out: str = "bk_cmdb_level") -> DataFrame:
+    """A topology map as one JSON column."""
+    return df.withColumn(out, F.to_json(levels))
+
+
+def split_valid(df: DataFrame, time: str, metrics: str, dimensions: str, lenient: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Valid records, and the rejected ones."""
+    ok = F.coalesce(valid_record(F.col(time), F.col(metrics), F.col(dimensions), lenient), F.lit(False))
+    return df.where(ok), df.where(~ok)

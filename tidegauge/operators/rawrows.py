@@ -162,3 +162,10 @@ def realigned(df: DataFrame, labels: list[str], start: int, step_ms: int) -> Dat
     """Points moved to an even grid by their place within the series."""
     place = F.row_number().over(W.partitionBy(*labels).orderBy("t")) - 1
     return df.withColumn("t", (F.lit(start) + place * step_ms).cast("long"))
+
+
+def shaped(df: DataFrame, value: str = "v", nulls: float | None = None, keep_nan: bool = False) -> DataFrame:
+    """Values as an answer gives them: null instead of NaN (unless kept), or a fixed number instead of both."""
+    v = F.col(value)
+    v = v if keep_nan else F.when(~F.isnan(v), v)
+    return df.withColumn(value, F.coalesce(v, F.lit(nulls)) if nulls is not None else v)

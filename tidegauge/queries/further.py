@@ -295,3 +295,149 @@ def _(spark, folder):
 def _(spark, folder):
     c = Catalog([TableMeta("c", lambda: table(spark, folder, "customer").withColumn("time", F.lit(0)), aliases={"segment": "c_mktsegment"})])
     return c.scan("c", 0, 1, [[Condition("segment", "eq", ["FURNITURE"]), Condition("c_acctbal", "gt", [0])]]).select("c_custkey")
+
+
+@q("s06_reused_scan", "SELECT 'n' AS k, CAST(count(*) AS DOUBLE) AS v FROM events UNION ALL SELECT 'sum', round(sum(value), 4) FROM events")
+def _(spark, folder):
+    """Equal scans of one plan are one exchange: both figures come from the same partial aggregate."""
+    both = events(spark, folder).agg(F.count(F.lit(1)).cast("double").alias("n"), F.round(F.sum("value"), 4).alias("sum"))
+    return both.select(F.inline(F.array(F.struct(F.lit("n").alias("k"), F.col("n").alias("v")), F.struct(F.lit("sum").alias("k"), F.col("sum").alias("v")))))
+
+
+@q("s19_bulk_sink", "SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
+def _(spark, folder):
+    """A batch that is delivered again overwrites itself."""
+    path = scratch(spark, "bulk")
+    sink = readers.bulk_sink(readers.parquet_batches(path))
+    df = table(spark, folder, "events")
+    for batch_id, part in enumerate((df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1"))):
+        sink(part, batch_id)
+        sink(part, batch_id)
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@q("a13_influx_mean", f"SELECT event_type, (epoch_us(ts) // 1000) // {HOUR} * {HOUR} AS _time, round(avg(value), 6) AS _value FROM events WHERE epoch_us(ts) // 1000 > {JAN} AND epoch_us(ts) // 1000 < {JAN + DAY} GROUP BY 1, 2")
+def _(spark, folder):
+    from tidegauge.functions.timeutil import bounded
+
+    df = events(spark, folder).where(bounded(F.col("t"), JAN, JAN + DAY, "()"))
+    return aggregate.grouped(df, ["event_type"], "mean", "value", HOUR, "t").withColumn("_value", F.round("_value", 6))
+
+
+@q("a20_cluster_query", f"SELECT (epoch_us(ts) // 1000) // {DAY} * {DAY} AS _time, min(value) AS _value FROM events WHERE event_type = 'view' GROUP BY 1")
+def _(spark, folder):
+    return aggregate.grouped(events(spark, folder).where("event_type = 'view'"), [], "min", "value", DAY, "t")
+
+
+@q("m03_widened_union", "SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_acctbal AS DOUBLE) AS v FROM customer UNION ALL SELECT CAST(p_partkey AS VARCHAR), CAST(p_size AS DOUBLE) FROM part")
+def _(spark, folder):
+    a = table(spark, folder, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_acctbal").alias("v"))
+    b = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_size").alias("v"))
+    return merge.union_all([a, b], ["k", "v"])
+
+
+@q("m07_merge_choice", "SELECT unnest(['max', 'avg', 'sum']) AS how")
+def _(spark, folder):
+    chosen = [merge.merge_function("max", None), merge.merge_function(None, "avg_over_time"), merge.merge_function("count", None)]
+    return spark.createDataFrame([(c,) for c in chosen], "how string")
+
+
+@q("m11_order_keys", "SELECT event_type, user_id, n FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) ORDER BY n DESC, event_type, user_id LIMIT 12")
+def _(spark, folder):
+    df = aggregate.grouped(events(spark, folder), ["event_type", "user_id"], "count", "*")
+    return df.orderBy(*rawrows.ordering(df, ["-_value", "event_type", "user_id"])).limit(12).withColumnRenamed("_value", "n")
+
+
+@q("m25_shaped_answer", "SELECT rec_id, coalesce(CASE WHEN isnan(data.cpu.total_usage) THEN NULL ELSE data.cpu.total_usage END, -1) AS v FROM net_test_data")
+def _(spark, folder):
+    return rawrows.shaped(table(spark, folder, "net_test_data").select("rec_id", F.col("data.cpu.total_usage").alias("v")), nulls=-1.0)
+
+
+@q("promql34_request_times", "SELECT unnest([1700000000000, 1700000000000, 1700000000000])::BIGINT AS ms")
+def _(spark, folder):
+    from tidegauge.functions.timeutil import request_time_ms
+
+    return spark.createDataFrame([(request_time_ms(x),) for x in ("1700000000", "1700000000000000000", "2023-11-14 22:13:20")], "ms long")
+
+
+@q("e11_iterated_records", "SELECT rec_id, p.pid AS pid, 'processbeat' AS kind FROM (SELECT rec_id, unnest(data.perf) AS p FROM proc_test_data WHERE type = 'processbeat')")
+def _(spark, folder):
+    df = table(spark, folder, "proc_test_data").where("type = 'processbeat'").select("rec_id", F.explode("data.perf").alias("p"))
+    return etl.with_fields(df, [{"name": "pid", "type": "int", "from": "p.pid"}, {"name": "kind", "constant": "processbeat"}]).select("rec_id", F.col("pid").cast("int").alias("pid"), "kind")
+
+
+@q("e19_standard_events", "SELECT event_type AS event_name, epoch_us(ts) // 1000 AS timestamp, CAST(user_id AS VARCHAR) AS user FROM events".replace("AS user ", 'AS "user" '))
+def _(spark, folder):
+    out = etl.event_records(events(spark, folder), F.col("event_type"), F.col("t"), F.col("props"), F.create_map(F.lit("user"), F.col("user_id")))
+    return out.select("event_name", "timestamp", F.try_element_at("dimensions", F.lit("user")).alias("user"))
+
+
+@q("e20_rejected_records", "SELECT count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS rejected FROM (SELECT coalesce(recv_time IS NOT NULL AND data.cpu.total_usage IS NOT NULL AND ip IS NOT NULL, false) AS ok FROM net_test_data)")
+def _(spark, folder):
+    m = F.map_filter(F.create_map(F.lit("usage"), F.col("data.cpu.total_usage")), lambda _, v: v.isNotNull())
+    d = F.map_filter(F.create_map(F.lit("ip"), F.col("ip")), lambda _, v: v.isNotNull())
+    df = table(spark, folder, "net_test_data").select(F.unix_seconds(F.col("recv_time").cast("timestamp")).alias("time"), m.alias("m"), d.alias("d"))
+    good, bad = etl.split_valid(df, "time", "m", "d")
+    both = good.select(F.lit(True).alias("ok")).unionByName(bad.select(F.lit(False).alias("ok")))
+    return both.agg(F.count_if("ok").alias("valid"), F.count_if(~F.col("ok")).alias("rejected"))
+
+
+@q("e31_declared_fields", "SELECT TRY_CAST(ip AS BIGINT) AS ip, CAST(NULL AS DOUBLE) AS gone, rec_id FROM net_test_data")
+def _(spark, folder):
+    return etl.declared_only(table(spark, folder, "net_test_data"), {"ip": "int", "gone": "float", "rec_id": "int"})
+
+
+@q("e34_topology_json", "SELECT n_nationkey, '{\"region\":\"' || n_regionkey || '\"}' AS bk_cmdb_level FROM nation")
+def _(spark, folder):
+    df = table(spark, folder, "nation").select("n_nationkey", F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("levels"))
+    return etl.level_as_json(df, "levels").drop("levels")
+
+
+@q("e42_terminating_pods", "SELECT count(*) AS changes FROM (SELECT user_id, bad, lag(bad, 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, event_type = 'error' AS bad FROM events)) WHERE bad <> before")
+def _(spark, folder):
+    """Errors in a row play a deletion that lasts; the limit is never reached, so each change of the flag is a change of state."""
+    from tidegauge.queries.records import _drained, _stream
+    from tidegauge.streaming import pipelines
+
+    s = _stream(spark, folder).select(F.col("user_id").alias("pod"), F.col("event_id").alias("at"), (F.col("event_type") == "error").alias("deleting"))
+    return _drained(spark, pipelines.terminating_pods(s, "pod", "at", "deleting", 10**9)).agg(F.count(F.lit(1)).alias("changes"))
+
+
+@q("e43_processor_graph", "SELECT event_type, count(*) AS n FROM events WHERE value > 20 GROUP BY 1")
+def _(spark, folder):
+    from tidegauge.streaming import pipelines
+
+    nodes = {"big": lambda d: d.where("value > 20"), "counted": lambda d: d.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))}
+    return pipelines.pipeline(nodes, {"big": ["in"], "counted": ["big"]}, {"in": events(spark, folder)})["counted"]
+
+
+@q("e44_cleaned_tags", "SELECT span_id, trace_id, time, len(list_filter(map_values(attributes), lambda x: x <> '')) AS n FROM complex")
+def _(spark, folder):
+    return table(spark, folder, "complex").select("span_id", "trace_id", "time", F.size(etl.without_empty(F.col("attributes"))).cast("long").alias("n"))
+
+
+@q("c07_service_discovery", "SELECT event_id, CASE WHEN event_type = 'error' THEN 'errors' ELSE 'svc' || user_id % 3 END AS peer FROM events")
+def _(spark, folder):
+    host = F.when(F.col("event_type") == "error", F.lit("bad.example")).otherwise(F.concat(F.lit("svc"), (F.col("user_id") % 3).cast("string"), F.lit(".example")))
+    m = F.create_map(F.lit("http.url"), F.concat(F.lit("http://"), host, F.lit("/a/b?x=1")))
+    rules = [{"type": "manual", "host": {"op": "eq", "value": "bad.example"}, "params": {"x": "1"}, "service": "errors"}, {"type": "auto", "regex": r"https?://(?P<peer_service>\w+)\.example"}]
+    made = telemetry.discover_service(m, rules)
+    return events(spark, folder).select("event_id", F.try_element_at(made, F.lit("peer.service")).alias("peer"))
+
+
+@q("c16_validator", f"SELECT count(*) AS n FROM events WHERE epoch_us(ts) // 1000 <= {JAN + 10 * DAY + HOUR}")
+def _(spark, folder):
+    return events(spark, folder).where(telemetry.valid_proxy_record(F.col("t"), JAN + 10 * DAY, HOUR)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("c17_tokens", "SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0")
+def _(spark, folder):
+    tokens = table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("token"))
+    return telemetry.checked_token(table(spark, folder, "orders").withColumnRenamed("o_custkey", "token"), tokens).agg(F.count(F.lit(1)).alias("n"))
+
+
+@q("g13_flow_buckets", "SELECT span_name, count(*) FILTER (end_time - start_time <= 1000) AS fast, count(*) AS n FROM complex GROUP BY 1")
+def _(spark, folder):
+    df = table(spark, folder, "complex").select("span_name", (F.col("end_time") - F.col("start_time")).alias("duration"), (F.col("status.code") == 2).alias("error"))
+    out = topology.flow_stats(df, ["span_name"], [1000])
+    return out.where("le = '1000'").select("span_name", F.col("bucket_count").alias("fast"), "n")

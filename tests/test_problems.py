@@ -220,8 +220,9 @@ def readings_of(spark):
     return df, want
 
 
-@pytest.mark.parametrize("large", [10**9, 1])
-def test_implausible_readings_both_ways(spark, large, monkeypatch):
+@pytest.mark.parametrize(("large", "named"), [(10**9, 1000), (1, 1000), (1, 0), (300, 0)])
+def test_implausible_readings_both_ways(spark, large, named, monkeypatch):
+    monkeypatch.setattr(outliers, "MOST_NAMED", named)
     monkeypatch.setattr(outliers, "BUCKET_US", 600 * 1_000_000)
     df, want = readings_of(spark)
     assert {r.id: r.reason for r in outliers.implausible(df, large).collect()} == want

@@ -20,8 +20,8 @@ HOUR_READINGS = 24
 SKETCH = 400
 #: Width of the time buckets that part a source's readings into tasks.
 BUCKET_US = 6 * 3600 * 1_000_000
-#: Sources of more readings are spread over tasks; there may be at most MOST_LARGE of them (they are named in the plan).
-LARGE_SOURCE, MOST_LARGE = 500_000, 10_000
+#: Sources of more readings are spread over tasks. Up to MOST_NAMED of them are named in the plan and their fences broadcast; more are joined.
+LARGE_SOURCE, MOST_NAMED = 500_000, 1_000
 
 
 def run_lengths(df: DataFrame, source: list[str], at: str, order: list[str], tokens: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
@@ -131,14 +131,14 @@ def _whole_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
     return _reason(judged.select("source", "id", "value", "possible", "far", "leads", "run_value", "run_far", "n_source", "q1", "q2", "q3", "width"))
 
 
-def _split_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+def _split_sources(rows: DataFrame, ranges: DataFrame, few: bool) -> DataFrame:
     """Sources too large for a task: first deliveries by an aggregate over messages, runs by time buckets and stitching; what is found of a message
     is then reported for its other deliveries."""
     own = F.min(F.struct("received", "id", "at", "hour", "value", "possible")).alias("m")
     rows = materialise(rows, "large-sources")
     once = materialise(rows.groupBy("source", "message").agg(own).select("source", "message", "m.*").withColumn("tie", F.col("received")), "messages")
     runs = run_lengths(
-        _far(once, F.broadcast(ranges)).withColumn("leads", F.lit(True)),
+        _far(once, F.broadcast(ranges) if few else ranges).withColumn("leads", F.lit(True)),
         ["source"], "at", ["at", "tie", "id"], ["value", "far"],
     )
     found = materialise(_reason(runs).join(once.select("source", "id", "message"), ["source", "id"]), "large-found")
@@ -161,11 +161,13 @@ def implausible(readings: DataFrame, large: int = LARGE_SOURCE) -> DataFrame:
     rows = readings.where("source is not null and message is not null and value is not null").withColumn("hour", hour)
     ranges = materialise(normal_ranges(rows), "ranges")
     big = ranges.where(F.col("n_source") > large)
-    names = [r.source for r in big.select("source").limit(MOST_LARGE + 1).collect()]
+    names = [r.source for r in big.select("source").limit(MOST_NAMED + 1).collect()]
     rows = rows.drop("least")
     if not names:
         return _whole_sources(rows, ranges)
-    if len(names) > MOST_LARGE:
-        raise ValueError(f"more than {MOST_LARGE} sources of over {large} readings; raise `large`")
-    of_big = F.col("source").isin(names)
-    return _whole_sources(rows.where(~of_big), ranges.where(~of_big)).unionByName(_split_sources(rows.where(of_big), ranges.where(of_big)))
+    if len(names) <= MOST_NAMED:
+        of_big = F.col("source").isin(names)
+        small, large_rows = rows.where(~of_big), rows.where(of_big)
+    else:
+        small, large_rows = (rows.join(big.select("source"), "source", how) for how in ("left_anti", "left_semi"))
+    return _whole_sources(small, ranges.where(F.col("n_source") <= large)).unionByName(_split_sources(large_rows, big, len(names) <= MOST_NAMED))

@@ -172,6 +172,8 @@ def leak_fixture():
         half = len(w) // 2
         docs.append((len(docs), f"{' '.join(w[:half])} {filler} {' '.join(w[half:])}"))
         docs.append((len(docs), " ".join(w[::2])))
+        docs.append((len(docs), " ".join(f"{x} again" for x in w)))  # a word put in behind each
+        docs.append((len(docs), " ".join(f"{x} {filler}" for i, x in enumerate(w) if i % 5)))
     docs += [(len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, filler * 400), (len(docs) + 3, items_short), (len(docs) + 4, docs[0][1])]
     return items, docs
 

@@ -3,10 +3,12 @@
 Both sides are reduced to words and these to one stream of letters and digits. A run of item words that a document holds unchanged
 shares all its q-grams on one diagonal (document position minus item position); a copy with at most k edited places shares, by the
 q-gram lemma, at least (length + 1) - q - k * q of them, spread over as many diagonals as there are insertions. Documents below the least of
-these bounds are out; the (document, item) pairs left are counted per band of diagonals, and those that meet their item's bound are aligned."""
+these bounds are out; the (document, item) pairs left are counted per band of diagonals, and those that meet their item's bound are aligned. Copies with more
+edits than the budget allows for are found by a bound on rare words that holds for any edits, and aligned in the same way: no pair of the definition is missed."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +26,8 @@ Q = 8
 RUN_WORDS, SHARE = 13, 0.75
 #: Edit budget of the filter: edited places (a word dropped, inserted or replaced, or several side by side) per item word.
 EDITED_PLACES = 0.25
+#: A word is rare if so few items have it: the first of these counts by which an item's rare words can tell (a bound of LEAST_RARE or more), else all its words are counted.
+RARE_ITEMS, LEAST_RARE = (3, 6, 12, 25, 50, 100), 3
 #: Diagonals per band; bands overlap by half. Bands with fewer shared q-grams are chance.
 BAND, BAND_HITS = 32, 4
 #: The items travel to every executor; more text than this is refused (work it off in several runs).
@@ -62,6 +66,8 @@ class ItemIndex:
     least_run: np.ndarray
     least_share: np.ndarray
     sieve: np.ndarray
+    holders: dict[str, list[tuple[int, int]]]
+    least_words: list[int]
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
@@ -87,9 +93,25 @@ class ItemIndex:
             share.append(max(int(SHARE * s[-1]) + 1 - Q - places * Q, 2 * Q))
         sieve = np.zeros(1 << 22, bool)
         sieve[(unique ^ (unique >> 22)) & ((1 << 22) - 1)] = True
+        # Of SHARE of an item's words at most the rest can be missing, of its rare ones too: so many places must have their word in the document, whatever the edits.
+        having = Counter(w for ws in lists for w in set(ws))
+        holders: dict[str, list[tuple[int, int]]] = {}
+        least_words = []
+        for k, ws in enumerate(lists):
+            need = int(np.ceil(SHARE * len(ws)))
+            for most in RARE_ITEMS:  # the rarest words that can tell
+                counted = [w for w in ws if having[w] <= most]
+                bound = len(counted) - (len(ws) - need)
+                if bound >= LEAST_RARE:
+                    break
+            else:
+                counted, bound = ws, need
+            least_words.append(bound)
+            for w, n in Counter(counted).items():
+                holders.setdefault(w, []).append((k, n))
         join = lambda x: np.concatenate(x).astype(np.int32) if x else np.zeros(0, np.int32)
         return cls(np.array([i for i, _ in kept], np.int64), lists, starts, unique, np.r_[first, len(flat)].astype(np.int64), join(item)[order], join(pos)[order],
-                   np.array(run, np.int64), np.array(share, np.int64), sieve)
+                   np.array(run, np.int64), np.array(share, np.int64), sieve, holders, least_words)
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int]]:
         """(document, item) places of all leaks among ``docs`` (lists of words)."""
@@ -121,7 +143,20 @@ class ItemIndex:
             end = int(np.searchsorted(doc, doc[end], "left")) if end < len(doc) and doc[end] != doc[begin] else int(np.searchsorted(doc, doc[end - 1], "right"))
             found |= self._pairs(docs, maybe[begin:end], at[begin:end], doc[begin:end], count[begin:end], begins)
             begin, done = end, int(total[end - 1])
-        return sorted(found)
+        return sorted(self._scattered(docs, found))
+
+    def _scattered(self, docs: list[list[str]], found: set[tuple[int, int]]) -> set[tuple[int, int]]:
+        """Adds copies with more edited places than the budget: pairs that share enough words anywhere are aligned too."""
+        holders, least = self.holders, self.least_words
+        for d, ws in enumerate(docs):
+            shared: dict[int, int] = {}
+            for w in holders.keys() & set(ws):
+                for k, n in holders[w]:
+                    shared[k] = shared.get(k, 0) + n
+            for k, n in shared.items():
+                if n >= least[k] and (d, k) not in found and aligned(self.word_lists[k], ws):
+                    found.add((d, k))
+        return found
 
     def _pairs(self, docs, pos, at, doc, count, begins) -> set[tuple[int, int]]:
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)

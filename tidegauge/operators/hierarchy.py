@@ -221,14 +221,23 @@ def hierarchy(df: DataFrame, group: str, node: str, parent: str, limit: int = LA
     return done if big is None else done.unionByName(_large_groups(big))
 
 
-def descendants(tree: DataFrame, of: DataFrame) -> DataFrame:
-    """All descendants of the nodes in ``of`` (grp, node): ``grp, node, descendant, distance``, by comparing ranges
-    within the group's root. The output has as many rows as there are descendants."""
-    a = tree.join(of.select("grp", "node").distinct(), ["grp", "node"], "left_semi").where("depth >= 0")
-    a = a.select("grp", "root", "node", F.col("first").alias("a_first"), F.col("last").alias("a_last"), F.col("depth").alias("a_depth"))
-    d = tree.where("depth >= 0").select("grp", "root", F.col("node").alias("descendant"), "first", "depth")
-    near = a.join(d, ["grp", "root"]).where((F.col("first") > F.col("a_first")) & (F.col("first") <= F.col("a_last")))
-    return near.select("grp", "node", "descendant", (F.col("depth") - F.col("a_depth")).alias("distance"))
+#: Preorder numbers per bucket of the range join.
+RANGE_BUCKET = 64
+
+
+def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """All descendants of the nodes in ``of`` (grp, node; without it, of all nodes): ``grp, node, descendant, distance``, by nested-set ranges. Ranges and numbers meet in buckets
+    of RANGE_BUCKET numbers, so beside the result only the two buckets at a range's ends are compared. Nodes on circles have none."""
+    tree = tree.where("depth >= 0")
+    a = tree.where("last > first")
+    if of is not None:
+        a = a.join(of.select("grp", "node").distinct(), ["grp", "node"], "left_semi")
+    bucket = lambda c: F.floor(c / RANGE_BUCKET).cast("long")
+    a = a.select("grp", "node", F.col("first").alias("low"), F.col("last").alias("high"), F.col("depth").alias("above"),
+        F.explode(F.sequence(bucket(F.col("first") + 1), bucket(F.col("last")))).alias("bucket"))
+    d = tree.select("grp", F.col("node").alias("descendant"), "first", "depth", bucket(F.col("first")).alias("bucket"))
+    near = a.join(d, ["grp", "bucket"]).where((F.col("first") > F.col("low")) & (F.col("first") <= F.col("high")))
+    return near.select("grp", "node", "descendant", (F.col("depth") - F.col("above")).alias("distance"))
 
 
 def paths(tree: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.operators.hierarchy import hierarchy
+from tidegauge.operators.hierarchy import descendants, hierarchy
 
 # Span kinds, their classes, and by which attributes a span's category is told (first match counts; of ``with_any`` one key must be there too).
 SERVER, CLIENT, PRODUCER, CONSUMER = 2, 3, 4, 5
@@ -72,11 +72,9 @@ def collected_values(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ancestor_pairs(spans: DataFrame) -> DataFrame:
-    """All (ancestor, descendant) pairs of each trace, by comparing preorder ranges within the root."""
-    rows = with_depth(spans).where("depth >= 0").select("trace_id", "root", "span_id", "first", "last", "depth")
-    a = rows.select("trace_id", "root", F.col("span_id").alias("ancestor"), F.col("first").alias("f"), F.col("last").alias("l"), F.col("depth").alias("d"))
-    d = rows.select("trace_id", "root", F.col("span_id").alias("descendant"), "first", "depth")
-    return a.where("l > f").join(d, ["trace_id", "root"]).where("first > f and first <= l").select("trace_id", "ancestor", "descendant", (F.col("depth") - F.col("d")).alias("distance"))
+    """All (ancestor, descendant) pairs of each trace, by preorder ranges."""
+    pairs = descendants(hierarchy(spans, "trace_id", "span_id", "parent_span_id"))
+    return pairs.select(F.col("grp").alias("trace_id"), F.col("node").alias("ancestor"), "descendant", "distance")
 
 
 def call_pairs(spans: DataFrame) -> DataFrame:
@@ -90,17 +88,16 @@ def call_pairs(spans: DataFrame) -> DataFrame:
 
 
 def alone_spans(spans: DataFrame) -> DataFrame:
-    """Called spans without a caller above them, and calling spans without a called span below."""
-    rows = with_depth(spans).where("depth >= 0").select("trace_id", "root", "span_id", "kind", "first", "last")
+    """Called spans without a caller above them, and calling spans without a called span below. In preorder a span has a caller above if the farthest reach of the callers
+    before it includes it, and a called span below if the next called one lies within its range: two running extremes per trace."""
+    rows = with_depth(spans).where("depth >= 0").select("trace_id", "span_id", "kind", "first", "last")
     calling, called = F.col("kind").isin(CLIENT, PRODUCER), F.col("kind").isin(SERVER, CONSUMER)
-    callers = rows.where(calling).select("trace_id", "root", F.col("first").alias("f"), F.col("last").alias("l"))
-    callees = rows.where(called).select("trace_id", "root", F.col("first").alias("f"))
-    above = (F.col("c.f") < F.col("r.first")) & (F.col("r.first") <= F.col("c.l"))
-    same = (F.col("r.trace_id") == F.col("c.trace_id")) & (F.col("r.root") == F.col("c.root"))
-    no_caller = rows.where(called).alias("r").join(callers.alias("c"), same & above, "left_anti").select("trace_id", "span_id", "kind", F.lit("no_caller").alias("why"))
-    below = (F.col("c.f") > F.col("r.first")) & (F.col("c.f") <= F.col("r.last"))
-    no_callee = rows.where(calling).alias("r").join(callees.alias("c"), same & below, "left_anti").select("trace_id", "span_id", "kind", F.lit("no_callee").alias("why"))
-    return no_caller.unionByName(no_callee)
+    before = W.partitionBy("trace_id").orderBy("first").rowsBetween(W.unboundedPreceding, -1)
+    behind = W.partitionBy("trace_id").orderBy(F.col("first").desc()).rowsBetween(W.unboundedPreceding, -1)
+    reach, next_called = F.max(F.when(calling, F.col("last"))).over(before), F.min(F.when(called, F.col("first"))).over(behind)
+    rows = rows.withColumns({"reach": F.coalesce(reach, F.lit(-1)), "next_called": next_called})
+    why = F.when(called & (F.col("reach") < F.col("first")), "no_caller").when(calling & (F.col("next_called").isNull() | (F.col("next_called") > F.col("last"))), "no_callee")
+    return rows.select("trace_id", "span_id", "kind", why.alias("why")).where("why is not null")
 
 
 def relation_metrics(spans: DataFrame) -> DataFrame:

@@ -178,7 +178,7 @@ def leak_fixture():
     return items, docs
 
 
-def test_leaks_against_brute_force(spark):
+def test_leaks_against_brute_force(spark, monkeypatch):
     items, docs = leak_fixture()
     want = brute(items, docs)
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
@@ -186,6 +186,9 @@ def test_leaks_against_brute_force(spark):
     assert {tuple(r) for r in leaks.leaked(d, b).collect()} == want
     assert len(want) > 40
     assert leaks.leaked(d.limit(0), b).count() == 0 and leaks.leaked(d, b.limit(0)).count() == 0
+    monkeypatch.setattr(leaks, "MOST_ITEM_CHARS", 10)
+    with pytest.raises(ValueError, match="in parts"):
+        leaks.leaked(d, b)
 
 
 def test_filter_bounds_hold_for_what_they_promise():

@@ -71,8 +71,6 @@ class ItemIndex:
 
     @classmethod
     def build(cls, items: list[tuple[int, str]]) -> ItemIndex:
-        if sum(len(t or "") for _, t in items) > MOST_ITEM_CHARS:
-            raise ValueError(f"more than {MOST_ITEM_CHARS} characters of items; work them off in parts")
         kept = [(i, w) for i, t in items if (w := words(t or ""))]
         lists = [w for _, w in kept]
         starts = [np.cumsum([0, *map(len, w)]) for w in lists]
@@ -221,6 +219,9 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     Items are the side whose size is bounded (and checked): they are collected, indexed once and sent to the executors; documents are read in one
     narrow pass, whole, in batches, without a shuffle. Null and empty texts on either side match nothing; items under RUN_WORDS words can leak
     by their share only; repeated documents are each reported. Empty tables give an empty result."""
+    size = items.agg(F.sum(F.length(item_text))).first()[0] or 0  # before anything is collected
+    if size > MOST_ITEM_CHARS:
+        raise ValueError(f"more than {MOST_ITEM_CHARS} characters of items; work them off in parts")
     rows = [(r[0], r[1]) for r in items.select(F.col(item_id).cast("long"), item_text).where(F.col(item_id).isNotNull()).collect()]
     index = ship(documents.sparkSession, ItemIndex.build(sorted(rows, key=lambda r: r[0])))
 

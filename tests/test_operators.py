@@ -242,3 +242,20 @@ def test_graph_of_processors():
     with pytest.raises(ValueError, match="circle"):
         pipelines.pipeline({"x": lambda y: y, "y": lambda x: x}, {"x": ["y"], "y": ["x"]}, {})
     assert topology.resource_paths([("a", "b"), ("b", "c"), ("a", "c")], "a", "c") == [["a", "c"], ["a", "b", "c"]]
+
+
+def test_stream_triggers_of_all_records_and_across_buckets(spark, tmp_path):
+    kept = [(k, t, i, (t * 7 + i) % 3 == 0) for k in ("a", "b") for i, t in enumerate([0, 0, 5, 99, 100, 101, 101, 199, 200, 350, 399, 400])]
+    rows_ = [*kept, ("a", 101, 99, True), ("a", 101, 99, True)]  # the last one is delivered twice
+    schema = "k string, at long, id long, anomalous boolean"
+    spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/in")
+    once = {r[:3]: r for r in rows_}.values()
+    want = []
+    for k, t, _, a in once:
+        n = sum(x[3] for x in once if x[0] == k and t - 99 <= x[1] <= t)
+        want.append((k, t, bool(a and n >= 2), n))
+    for name, spread in (("one", None), ("spread", 100), ("narrow", 1)):
+        s = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        out = pipelines.triggers(s, "k", "at", {"check_window": 100, "count": 2}, 1, "id", spread)
+        pipelines.start(out, f"{tmp_path}/{name}", f"{tmp_path}/{name}_state").awaitTermination()
+        assert rows(spark.read.parquet(f"{tmp_path}/{name}")) == sorted(want, key=repr)

@@ -455,3 +455,12 @@ def _(spark, folder):
     s = _stream(spark, folder).where("event_type = 'error' and user_id < 40")
     s = s.select("event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") > 60).alias("anomalous"))
     return _drained(spark, pipelines.triggers(s, "event_type", "at", {"check_window": 24, "count": 3}, 3600)).select("at", "triggered", "anomalies")
+
+
+@q("stream_triggers_all", """WITH a AS (SELECT event_id, epoch_us(ts) // 1000000 AS "at", value > 60 AS anomalous FROM events WHERE event_type = 'error')
+    SELECT "at", anomalous AND n >= 3 AS triggered, n AS anomalies FROM (SELECT "at", anomalous, count(*) FILTER (anomalous) OVER (ORDER BY "at" RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM a)""")
+def _(spark, folder):
+    """Of all users; events of one second count each."""
+    s = _stream(spark, folder).where("event_type = 'error'")
+    s = s.select("event_type", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("value") > 60).alias("anomalous"))
+    return _drained(spark, pipelines.triggers(s, "event_type", "at", {"check_window": 24, "count": 3}, 3600, "event_id", DAY // 1000)).select("at", "triggered", "anomalies")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,29 +78,45 @@ def lambda_batches(view: LambdaView, log_path: str, recompute_every: int = 10) -
     return each
 
 
-def triggers(outcomes: DataFrame, key: str, at: str, config: dict, unit_s: int = 60) -> DataFrame:
+def triggers(outcomes: DataFrame, key: str, at: str, config: dict, unit_s: int = 60, record: str | None = None, spread_s: int | None = None) -> DataFrame:
     """N-of-M on a stream of ``key, at (s), anomalous``: ``key, at, triggered, anomalies``. Of a micro-batch all records are entered first and then judged by event time, so their order doesn't
-    matter; a time given twice counts as last written; times that no window reaches any more are forgotten."""
+    matter; a time given twice counts as last written; times that no window reaches any more are forgotten.
+
+    ``record`` names a column that tells records of one time apart: each is counted and judged, and only one given twice counts as last written. ``spread_s`` spreads a key over tasks by buckets of
+    that many seconds (a window at least), into which records go whose windows reach there; a bucket's records stay in the checkpoint, so it is for streams that end."""
     span = unit_s * config["check_window"] - 1
+    width = max(spread_s, span + 1) if spread_s else 0
+    told = [at, record] if record else [at]
 
     def judge(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known: dict[int, bool] = dict(zip(*state.get, strict=True)) if state.exists else {}
-        new: list[int] = []
+        known: dict[tuple, bool] = {}
+        if state.exists:
+            *what, flags = state.get
+            known = dict(zip(zip(*what, strict=True), flags, strict=True))
+        new: set[tuple] = set()
         for pdf in batches:
-            for t, a in zip(pdf[at], pdf["anomalous"], strict=True):
-                known[int(t)] = bool(a)
-                new.append(int(t))
-        rows = []
-        for t in sorted(set(new)):
-            n = sum(1 for u, a in known.items() if a and t - span <= u <= t)
-            rows.append((name[0], t, bool(known[t] and n >= config["count"]), n))
-        newest = max(known)
-        kept = {u: a for u, a in known.items() if u >= newest - 2 * span}
-        state.update((list(kept), list(kept.values())))
+            for t, *rest, a in zip(*(pdf[c].tolist() for c in told), pdf["anomalous"], strict=True):
+                x = (int(t), *rest)
+                known[x] = bool(a)
+                if not width or x[0] // width == name[1]:
+                    new.add(x)
+        judged = sorted(new)
+        times = np.array([x[0] for x in judged], np.int64)
+        bad = np.sort(np.array([x[0] for x, a in known.items() if a], np.int64))
+        n = np.searchsorted(bad, times, "right") - np.searchsorted(bad, times - span, "left")
+        rows = [(name[0], x[0], bool(known[x] and k >= config["count"]), k) for x, k in zip(judged, n.tolist(), strict=True)]
+        newest = max(x[0] for x in known)
+        kept = {x: a for x, a in known.items() if width or x[0] >= newest - 2 * span}
+        state.update((*map(list, zip(*kept, strict=True)), list(kept.values())))
         yield pd.DataFrame(rows, columns=[key, at, "triggered", "anomalies"])
 
-    kind = outcomes.schema[key].dataType.simpleString()
-    return outcomes.groupBy(key).applyInPandasWithState(judge, f"{key} {kind}, {at} long, triggered boolean, anomalies long", "times array<bigint>, flags array<boolean>", "append", GroupStateTimeout.NoTimeout)
+    kinds = {c: outcomes.schema[c].dataType.simpleString() for c in (key, *told)}
+    parts = [key]
+    if width:
+        reached = [F.floor((F.col(at) + s) / width).cast("long") for s in (0, span)]
+        outcomes, parts = outcomes.withColumn("_bucket", F.explode(F.array_distinct(F.array(*reached)))), [key, "_bucket"]
+    kept_as = "times array<bigint>, " + (f"records array<{kinds[record]}>, " if record else "") + "flags array<boolean>"
+    return outcomes.groupBy(*parts).applyInPandasWithState(judge, f"{key} {kinds[key]}, {at} long, triggered boolean, anomalies long", kept_as, "append", GroupStateTimeout.NoTimeout)
 
 
 def deltas(stream: DataFrame, key: str, at: str, value: str) -> DataFrame:

@@ -259,3 +259,26 @@ def test_stream_triggers_of_all_records_and_across_buckets(spark, tmp_path):
         out = pipelines.triggers(s, "k", "at", {"check_window": 100, "count": 2}, 1, "id", spread)
         pipelines.start(out, f"{tmp_path}/{name}", f"{tmp_path}/{name}_state").awaitTermination()
         assert rows(spark.read.parquet(f"{tmp_path}/{name}")) == sorted(want, key=repr)
+
+
+def test_json_rest_of_all_texts(spark, tmp_path):
+    from tidegauge.queries import records
+
+    long = "x } {\n" * 200
+    texts = [
+        json.dumps({"ts": 1, "a": long}), json.dumps({"a": {"b": long}}, indent=2) + "\n\n", json.dumps({"a": long}) + " tail\nof text", json.dumps({"a": long}) + "\n" + json.dumps({"b": 1}),
+        '{"a":"} {"}', '{"a":"\\"} {"}', '{"a":1} x', '{"a":1},{"b":2}', '{"a":1},"b":2', '{"a":1}]', '{"a":1}}', '{"a":1}] [', '{"a":1}} {', '{"a":1} "x"', '{"a":1,}', "{", "{}", "[{}]", "", long, None,
+    ]
+
+    def is_object(t):
+        try:
+            return isinstance(json.loads(t), dict)
+        except (TypeError, ValueError):
+            return False
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.is_json for r in records.registry.queries["e02_json_rest_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: is_object(t) for i, t in enumerate(texts)} and sum(got.values()) == 5
+    first = etl.json_with_rest(df, "text", ["ts"]).where("doc_id = 0").first()
+    assert first.ts == "1" and json.loads(first.ext_json) == {"a": long} and first.raw is None

@@ -24,9 +24,13 @@ def parse_json(c: Column) -> Column:
 
 
 def json_with_rest(df: DataFrame, column: str, known: list[str]) -> DataFrame:
-    """Adds the known keys as columns, ``ext_json`` (the other keys as JSON), ``raw`` (the text, kept if it is no object) and ``clean_failed``."""
+    """Adds the known keys as columns, ``ext_json`` (the other keys as JSON), ``raw`` (the text, kept if it is no object) and ``clean_failed``.
+
+    The parser ignores what follows a value, so the text is parsed as an array's element and as a key's value: only an object alone is good for both. Objects that name a key twice fail."""
+    t = F.col(column)
     m = F.from_json(F.col(column), "map<string,string>")
-    is_object = F.col(column).rlike(r"^\s*\{") & ~F.col(column).rlike(r"\}\s*\{") & F.try_parse_json(F.col(column)).isNotNull()
+    alone = [F.try_parse_json(F.concat(F.lit(a), t, F.lit(z))).isNotNull() for a, z in (("[", "]"), ('{"v":', "}"))]
+    is_object = t.rlike(r"^\s*\{") & alone[0] & alone[1]
     df = df.withColumn("_m", F.when(is_object, m))
     rest = F.map_filter("_m", lambda k, _: ~k.isin(known))
     df = df.withColumns({k: F.try_element_at("_m", F.lit(k)) for k in known})

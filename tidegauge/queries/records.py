@@ -33,6 +33,12 @@ def _(spark, folder):
     return etl.json_with_rest(df, "text", ["ts", "level"]).select("doc_id", (~F.col("clean_failed")).alias("is_json"))
 
 
+@q("e02_json_rest_all")
+def _(spark, folder):
+    """All documents; those without a text are no JSON. DuckDB takes trailing commas and NaN for JSON, so there is no SQL."""
+    return etl.json_with_rest(table(spark, folder, "documents"), "text", ["ts", "level"]).select("doc_id", (~F.col("clean_failed")).alias("is_json"))
+
+
 @q("e03_separator", "SELECT doc_id, trim(split_part(source, '/', 1)) AS kind, nullif(trim(split_part(source, '/', 2)), '') AS area FROM documents")
 def _(spark, folder):
     return etl.separated(table(spark, folder, "documents"), "source", "/", ["kind", "area"]).select("doc_id", "kind", "area")

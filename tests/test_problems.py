@@ -299,3 +299,25 @@ def test_late_records_correct_their_periods(spark, runs):
 def test_shipped_things_arrive(spark):
     get = ship(spark, {"a": 1})
     assert spark.range(3).select("id").mapInPandas(lambda it: (p.assign(id=get()["a"]) for p in it), "id long").distinct().collect()[0][0] == 1
+
+
+@pytest.mark.parametrize("gap", [24, 60, 150])
+def test_imputation_settles_over_long_gaps(gap, monkeypatch):
+    place = np.arange(2000)
+    true = 30 + 8 * np.sin(2 * np.pi * place / 72)
+    x = true + np.random.RandomState(gap).randn(2000)
+    missing = (place % (gap + 150) >= 150) & (place < 1900)
+    x[missing] = np.nan
+    y = regrid.ssa_impute(x, missing)
+    start = np.interp(place, place[~missing], x[~missing])
+    z = y - start.mean()
+    trajectory = np.lib.stride_tricks.sliding_window_view(z, regrid.WINDOW)
+    leading = np.linalg.svd(trajectory, full_matrices=False)[2][: regrid.RANK]
+    low_rank = trajectory @ leading.T @ leading
+    again = np.array([low_rank[::-1].diagonal(k - len(low_rank) + 1).mean() for k in range(2000)])
+    assert np.abs(again - z)[missing].max() < regrid.TOLERANCE * start.std() and np.allclose(y[~missing], x[~missing])
+    if gap == 24:
+        assert np.sqrt(((y - true)[missing] ** 2).mean()) < 0.8
+    monkeypatch.setattr(regrid, "MOST_ROUNDS", 3)
+    with pytest.warns(RuntimeWarning, match="source 5"):
+        regrid.ssa_impute(x, missing, "source 5")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +16,19 @@ SLOT_S = 300
 OFF_SLOTS = 288
 #: Slots of one piece of a series; longer series are worked off in pieces.
 PIECE_SLOTS = 4032
-#: Window length, number of components kept, rounds and tolerance of the imputation.
-WINDOW, RANK, ROUNDS, TOLERANCE = 24, 3, 12, 1e-3
+#: Window length, number of components kept and tolerance of the imputation; what hasn't settled after MOST_ROUNDS is reported. Rounds that the next guess is drawn from.
+WINDOW, RANK, TOLERANCE, MOST_ROUNDS, MEMORY = 24, 3, 1e-3, 20_000, 5
 
 SERIES_SCHEMA = "source long, slot long, value double, filled boolean"
 _ARROW = pa.schema([("source", pa.int64()), ("slot", pa.int64()), ("value", pa.float64()), ("filled", pa.bool_())])
 
 
-def ssa_impute(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+def ssa_impute(x: np.ndarray, missing: np.ndarray, name: str = "a series") -> np.ndarray:
     """Fill the missing places of an even series: embed it as a Hankel trajectory matrix, keep its leading singular vectors,
-    average the anti-diagonals, replace the missing places by the outcome, until they settle.
+    average the anti-diagonals, replace the missing places by the outcome, until a round moves none of them by TOLERANCE of the series' deviation.
+
+    Rounds can be hundreds, so they are accelerated (Anderson): the next guess is drawn from the last MEMORY rounds, and a plain round is taken instead where that guess leaves more outside
+    the leading vectors. Should MOST_ROUNDS not do, the last outcome is given with a warning that has ``name``.
 
     The first guess is linear interpolation, which is also the result for series too short to embed (under 8 slots) or constant."""
     n = len(x)
@@ -38,19 +42,40 @@ def ssa_impute(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
     mean = y.mean()
     y = y - mean
     counts = np.minimum(np.minimum(place + 1, n - place), min(width, n - width + 1)).astype(float)
-    for _ in range(ROUNDS):
+    rank = min(RANK, width)
+
+    def one_round(filled: np.ndarray) -> tuple[np.ndarray, float]:
+        """The outcome for the missing places, and what the leading vectors leave out."""
+        y[missing] = filled
         trajectory = np.lib.stride_tricks.sliding_window_view(y, width)
-        _, vectors = np.linalg.eigh(trajectory.T @ trajectory)
-        leading = vectors[:, -min(RANK, width) :]
-        low_rank = (trajectory @ leading) @ leading.T
-        back = np.zeros(n)
-        for j in range(width):
-            back[j : j + len(low_rank)] += low_rank[:, j]
-        new = (back / counts)[missing]
-        moved = np.abs(new - y[missing]).max()
-        y[missing] = new
-        if moved < TOLERANCE * scale:
+        values, vectors = np.linalg.eigh(trajectory.T @ trajectory)
+        leading = vectors[:, -rank:]
+        scores = trajectory @ leading
+        back = sum(np.convolve(scores[:, k], leading[:, k]) for k in range(rank))
+        return (back / counts)[missing], values[:-rank].sum()
+
+    guess = y[missing]
+    new, left_out = one_round(guess)
+    outcomes: list[np.ndarray] = []  # changes of the last rounds' outcomes, and of their steps
+    steps: list[np.ndarray] = []
+    rounds = 1
+    while np.abs(new - guess).max() >= TOLERANCE * scale:
+        if rounds >= MOST_ROUNDS:
+            warnings.warn(f"imputation of {name} hasn't settled after {rounds} rounds", RuntimeWarning, stacklevel=2)
             break
+        following = new
+        if steps:
+            following = new - np.array(outcomes).T @ np.linalg.lstsq(np.array(steps).T, new - guess, rcond=1e-10)[0]
+        newer, leaves_out = one_round(following)
+        rounds += 1
+        if steps and not leaves_out <= left_out:
+            outcomes, steps, following = [], [], new
+            newer, leaves_out = one_round(following)
+            rounds += 1
+        outcomes = [*outcomes, newer - new][-MEMORY:]
+        steps = [*steps, (newer - following) - (new - guess)][-MEMORY:]
+        guess, new, left_out = following, newer, leaves_out
+    y[missing] = new
     return y + mean
 
 
@@ -67,7 +92,7 @@ def _piece(source: int, slot: np.ndarray, value: np.ndarray, before: int, before
         x = np.full(len(grid), np.nan)
         x[s - s[0]] = v
         if missing.any():
-            x = ssa_impute(x, missing)
+            x = ssa_impute(x, missing, f"source {source}, slots {grid[0] * SLOT_S} to {grid[-1] * SLOT_S}")
         skip = int(before >= 0 and i == 0)  # that slot belongs to the piece before
         out.append((np.full(len(grid) - skip, source), grid[skip:] * SLOT_S, x[skip:], missing[skip:]))
     return out

@@ -248,3 +248,13 @@ def test_levels_of_held_out_documents(spark):
     assert none.where("level is not null").count() == 0
     assert reading.reading_levels(d.limit(0), lab).count() == 0
     assert Counter(truth.values())
+
+
+def test_semicolons_entities_and_tags_leave_prose():
+    lines = ["the queue that it feeds is longer than the one before; the node that reads it waits; so the batch is late.", "from the store (which is the oldest of them) it takes what the others have left; that is all it does."]
+    whole = reading.prose_figures("\n".join(lines))
+    assert whole[0] == sum(len(reading._WORD.findall(x)) for x in lines)
+    marked = ['<p class="a" id="b">' + lines[0].replace("queue that", "queue&nbsp;that").replace("it feeds", "it&nbsp;feeds") + "</p>", lines[1]]
+    assert reading.prose_figures("\n".join(marked)) == whole
+    for code in ("for (int i = 0; i < n; i++) { if (this.is(i)) { do(i); } }", "x = the_value; y = other(x);", "return this.of(a); }", "from queue import (the, node)"):
+        assert reading.prose_figures("\n".join([*lines, code])) == whole

@@ -36,15 +36,18 @@ LEAST_COMMON = 0.15
 
 _FENCED = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M | re.S)
 _TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,200}>")
-# Lines that are no running prose: tables, headings, addresses, records, log lines, stack traces, settings, code.
+# Lines that are no running prose: tables, headings, addresses, records, log lines, stack traces, settings.
 _OTHER = re.compile(
     r"""^[ \t]*(?:
       \| | \#{1,6}[ ] | \w+://\S*[ \t]*$ | \{.*":.* | \[?\d{4}-\d\d-\d\d[T ]\d | [A-Z][a-z]{2}[ ]+\d{1,2}[ ]\d\d:\d\d:\d\d | panic: | at[ ]\S+\( | Traceback | File[ ]"
-      | [\w.\-]+:[ ](?:\S+[ ]?){0,2}$ | [\w.\-]+:[ ][\[{].*[\]}][ ]*$ | --[ ]*$ | \(c\)[ ] | (?:def|class|import|from|return|SELECT|UPDATE|INSERT)[ ].*[(){};=].*$
-      | .*\blevel=\w+[ ] | .*[{};=].*[{}();=].*$ | [0-9a-fA-F]{24,}[ \t]*$
+      | [\w.\-]+:[ ](?:\S+[ ]?){0,2}$ | [\w.\-]+:[ ][\[{].*[\]}][ ]*$ | --[ ]*$ | \(c\)[ ]
+      | .*\blevel=\w+[ ] | [0-9a-fA-F]{24,}[ \t]*$
     ).*$""",
     re.M | re.X,
 )
+# Lines that may be code; they are if they also lack prose.
+_CODE = re.compile(r"^[ \t]*(?:(?:def|class|import|from|return|SELECT|UPDATE|INSERT)[ ].*[(){};=]|.*[{};=].*[{}();=]).*$", re.M)
+_CODE_MARK = re.compile(r"[{}();=]")
 _BROKEN = re.compile(r"(?<=[a-z])-\n[ \t]*(?=[a-z])")
 _NEW_SENTENCE = re.compile(r"(?<=[\w)'\"])[ \t]*\n[ \t]*(?:(?:[-*>•+]|//|\#|\d+[.)])[ \t]+)?(?=[A-Z])")
 _MARK = re.compile(r"^[ \t]*(?:[-*>•+]|//|\#|\d+[.)])[ \t]+", re.M)
@@ -54,6 +57,13 @@ _WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 _INVISIBLE = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF]) | {0x2019: 39, 0x2028: 10, 0x2029: 10, 0x85: 10}
 
 
+def _without_code(line: re.Match) -> str:
+    """A line that may be code, empty unless it has prose's share of common words and no more than one mark of code to three words."""
+    found = _WORD.findall(line[0].lower())
+    prose = sum(map(COMMON.__contains__, found)) >= LEAST_COMMON * len(found) and 3 * len(_CODE_MARK.findall(line[0])) <= len(found)
+    return line[0] if prose else ""
+
+
 def prose_figures(text: str) -> tuple[int, float, float]:
     """Number of words of running English prose, words per sentence and letters per word (0.0 without prose)."""
     t = text
@@ -63,11 +73,11 @@ def prose_figures(text: str) -> tuple[int, float, float]:
         t = t.replace("\r\n", "\n").replace("\r", "\n")
     if "```" in t or "~~~" in t:
         t = _FENCED.sub("\n", t)
-    t = _OTHER.sub("", t)
     if "<" in t:
         t = _TAG.sub(" ", t)
     if "&" in t:
         t = html.unescape(t)
+    t = _CODE.sub(_without_code, _OTHER.sub("", t))
     words = sentences = letters = 0
     for paragraph in _PARAGRAPH.split(t):
         if len(paragraph) < 12:

@@ -282,3 +282,13 @@ def test_json_rest_of_all_texts(spark, tmp_path):
     assert got == {i: is_object(t) for i, t in enumerate(texts)} and sum(got.values()) == 5
     first = etl.json_with_rest(df, "text", ["ts"]).where("doc_id = 0").first()
     assert first.ts == "1" and json.loads(first.ext_json) == {"a": long} and first.raw is None
+
+
+def test_series_queries_take_both_halves(spark, tmp_path):
+    from tidegauge.queries import storage
+
+    rows_ = [(i, i % 2, "a" if i % 2 else "b", float(i)) for i in range(8)]  # each kind has users of one half alone
+    df = spark.createDataFrame(rows_, "event_id long, user_id long, event_type string, value double")
+    df.withColumn("ts", F.lit("2024-01-07 00:00:00").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("m18_series_limits_all", "m19_order_series_all", "m21_lttb_all", "m22_realign_all"):
+        assert {r.event_type for r in storage.registry.queries[name](spark, str(tmp_path)).collect()} == {"a", "b"}, name

@@ -439,3 +439,37 @@ def _(spark, folder):
 def _(spark, folder):
     d = table(spark, folder, "documents").select("lang")
     return d.unionByName(d).distinct()
+
+
+# The queries above on one half of the events, here on all of them.
+
+_ALL = f"SELECT event_type, (epoch_us(ts) // 1000) // {DAY} * {DAY} AS t, sum(value) AS v FROM events GROUP BY 1, 2"
+
+
+def _daily(spark, folder):
+    return events(spark, folder).groupBy("event_type", bucket_ms(F.col("t"), DAY).alias("t")).agg(F.sum("value").alias("v"))
+
+
+@q("m05_route_filter_all", f"SELECT event_type, t FROM ({_ALL}) WHERE t < {JAN + 10 * DAY + HOUR} AND t + {DAY} > {JAN + 5 * DAY}")
+def _(spark, folder):
+    return merge.route_filter(_daily(spark, folder), Route("r", JAN + 5 * DAY, JAN + 10 * DAY + HOUR), DAY).select("event_type", "t")
+
+
+@q("m18_series_limits_all", f"WITH s AS ({_ALL}), f AS (SELECT DISTINCT event_type FROM s ORDER BY 1 LIMIT 2) SELECT event_type, t FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t) AS k FROM s WHERE event_type IN (SELECT event_type FROM f)) WHERE k <= 4")
+def _(spark, folder):
+    return rawrows.limit_series(_daily(spark, folder), ["event_type"], 4, 2).select("event_type", "t")
+
+
+@q("m19_order_series_all", f"WITH s AS ({_ALL}) SELECT event_type, CAST(row_number() OVER (ORDER BY arg_max(v, t) DESC, event_type) AS INT) AS rank FROM s GROUP BY 1")
+def _(spark, folder):
+    return rawrows.order_series(_daily(spark, folder), ["event_type"], ["-_value"]).select("event_type", "rank").distinct()
+
+
+@q("m21_lttb_all")
+def _(spark, folder):
+    return rawrows.lttb(_daily(spark, folder), ["event_type"], 10)
+
+
+@q("m22_realign_all", f"SELECT event_type, {JAN} + (row_number() OVER (PARTITION BY event_type ORDER BY t) - 1) * {HOUR} AS t FROM ({_ALL})")
+def _(spark, folder):
+    return rawrows.realigned(_daily(spark, folder), ["event_type"], JAN, HOUR).select("event_type", "t")

@@ -154,7 +154,7 @@ def implausible(readings: DataFrame, large: int = LARGE_SOURCE) -> DataFrame:
     but don't count towards what is normal), ``least`` (the least width of a fence unit, one per source).
 
     Stuck: a run of STUCK or more equal values, if the source has other values beside single excursions. Spike: outside the fences both of the source and
-    of its hour of day (where that has HOUR_READINGS), in an excursion of at most BURST readings, into and out of which the values jump across the fence; such excursions
+    of its hour of day (where that has HOUR_READINGS), in an excursion of at most BURST readings, however fast it comes and goes (the rate of change isn't looked at); such excursions
     must be at most FEW of the source's readings. Sources without a name aren't judged. An empty table gives an empty result. Sources of more than
     ``large`` readings take a way that spreads them over tasks, with the same result."""
     hour = F.pmod(F.floor(F.col("at") / 3_600_000_000), F.lit(24)).cast("int")

@@ -199,8 +199,8 @@ class ItemIndex:
 
 
 def aligned(item: list[str], doc: list[str]) -> bool:
-    """Whether ``doc`` holds SHARE of the item's words in order: alignment of the two word sequences, one bit per item word,
-    over the band of the document from the first to the last of the item's rarer words."""
+    """Whether ``doc`` holds SHARE of the item's words in order: longest common subsequence of the two word sequences, one bit
+    per item word, over the whole document (no band)."""
     need = int(np.ceil(SHARE * len(item)))
     masks: dict[str, int] = {}
     for i, w in enumerate(item):

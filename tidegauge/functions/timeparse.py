@@ -6,8 +6,6 @@ session's time zone and nothing raises: what cannot be read is null.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,17 +24,17 @@ _ZONE = r"\s*(Z|[A-Za-z]{2,5}|(?:UTC|GMT)?[+-]\d{1,2}:?(?:\d{2})?)?"
 _MON = r"([A-Za-z]{3})[A-Za-z]*"
 _DAY = r"(?:[A-Za-z]{3,9},?\s+)?"
 # Each layout: pattern, then the order y|m|d|h|mi|s|fraction|half of day|zone as a replacement.
-LAYOUTS: tuple[tuple[str, str], ...] = (
-    (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[T ]\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})[T ]\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt]?(\d{{2}})(\d{{2}})(\d{{2}})(?:[.,](\d+))?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    (rf"^(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
-    (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})[T ]\s*{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
-    (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})[T ]\s*{_TIME}\s*([AaPp])?(?:\.?[Mm]\.?)?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
-    (rf"^(\d{{1,2}})/{_MON}/(\d{{4}}):{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
-    (rf"^{_DAY}(\d{{1,2}})[ -]{_MON}[ -](\d{{4}})[T ]\s*{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
-    (rf"^{_DAY}{_MON}\s+(\d{{1,2}})\s+{_TIME}{_ZONE}\s+(\d{{4}})$", "$8|$1|$2|$3|$4|$5|$6||$7"),
-)
+LAYOUTS: dict[str, tuple[str, str]] = {
+    "dashes": (rf"^(\d{{4}})-(\d{{1,2}})-(\d{{1,2}})[T ]\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    "slashes": (rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}})[T ]\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    "digits": (rf"^(\d{{4}})(\d{{2}})(\d{{2}})[Tt]?(\d{{2}})(\d{{2}})(\d{{2}})(?:[.,](\d+))?{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    "signs": (rf"^(\d{{4}})年(\d{{1,2}})月(\d{{1,2}})日\s*{_TIME}{_ZONE}$", "$1|$2|$3|$4|$5|$6|$7||$8"),
+    "dots": (rf"^(\d{{1,2}})\.(\d{{1,2}})\.(\d{{4}})[T ]\s*{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    "month first": (rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}})[T ]\s*{_TIME}\s*([AaPp])?(?:\.?[Mm]\.?)?{_ZONE}$", "$3|$1|$2|$4|$5|$6|$7|$8|$9"),
+    "access log": (rf"^(\d{{1,2}})/{_MON}/(\d{{4}}):{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    "mail": (rf"^{_DAY}(\d{{1,2}})[ -]{_MON}[ -](\d{{4}})[T ]\s*{_TIME}{_ZONE}$", "$3|$2|$1|$4|$5|$6|$7||$8"),
+    "date command": (rf"^{_DAY}{_MON}\s+(\d{{1,2}})\s+{_TIME}{_ZONE}\s+(\d{{4}})$", "$8|$1|$2|$3|$4|$5|$6||$7"),
+}
 _EPOCH = r"^(\d{10}|\d{13}|\d{16}|\d{19})$"
 _EPOCH_FRACTION = r"^(\d{10})[.,](\d+)$"
 
@@ -63,10 +61,9 @@ def offset_seconds(zone: Column) -> Column:
     return F.when(seconds.between(LEAST_HOURS * 3600, MOST_HOURS * 3600), seconds)
 
 
-def _micros(ntz: Column) -> Column:
-    """Microseconds of a TIMESTAMP_NTZ since 1970, without the session's zone."""
-    day = F.unix_date(ntz.cast("date")).cast("long") * 86_400
-    return (day + F.hour(ntz) * 3600 + F.minute(ntz) * 60 + F.second(ntz)) * 1_000_000
+def _micros(text: Column) -> Column:
+    """Microseconds since 1970 of a date and time in UTC written 'y-m-d h:m:s': the zone is put behind the text, so the session's doesn't matter."""
+    return F.unix_micros(F.concat(text, F.lit("Z")).try_cast("timestamp"))
 
 
 def _fraction(digits: Column) -> Column:
@@ -90,9 +87,25 @@ def instant_us(spark: SparkSession, text: Column, default_zone: Column, named_zo
     month_names = F.create_map(*[F.lit(x) for i, m in enumerate(MONTHS) for x in (m, str(i + 1))])
 
     def laid_out(x: Column) -> Column:
+        # The first characters leave one layout, or two, so that a text meets one pattern; what it doesn't match comes back unchanged.
         s = x["s"]
-        layouts = reduce(lambda acc, p: acc.when(s.rlike(p[0]), F.regexp_replace(s, p[0], p[1])), LAYOUTS, F.when(s.rlike(_EPOCH), F.lit(None)))
-        return F.struct(s.alias("s"), x["zone"].alias("zone"), F.split(layouts, r"\|").alias("p"))
+        head, fifth = F.substring(s, 1, 3), F.substring(s, 5, 1)
+        apply = lambda name: F.regexp_replace(s, *LAYOUTS[name])
+        after_slash = F.substr(s, F.instr(s, "/") + 1, F.lit(1))
+        read = (
+            F.when(head.contains("/"), F.when(after_slash > "9", apply("access log")).otherwise(apply("month first")))
+            .when(head.contains("."), apply("dots"))
+            .when(fifth == "-", apply("dashes"))
+            .when(fifth == "/", apply("slashes"))
+            .when(fifth == "年", apply("signs"))
+            .when(head.between("0", ":") & fifth.between("0", "9"), apply("digits"))
+            .when(s.rlike(LAYOUTS["mail"][0]), apply("mail"))
+            .otherwise(apply("date command"))
+        )
+        return F.struct(s.alias("s"), x["zone"].alias("zone"), read.alias("read"))
+
+    def parted(x: Column) -> Column:
+        return F.struct(x["s"].alias("s"), x["zone"].alias("zone"), F.when(x["read"] != x["s"], F.split(x["read"], r"\|")).alias("p"))
 
     def pieces(x: Column) -> Column:
         p, hour = x["p"], F.get(x["p"], 3).try_cast("int")
@@ -105,15 +118,16 @@ def instant_us(spark: SparkSession, text: Column, default_zone: Column, named_zo
         )
         month = F.when(month.rlike("^[A-Za-z]"), F.try_element_at(month_names, F.lower(month))).otherwise(month)
         day = F.concat(F.get(p, 0), F.lit("-"), month, F.lit("-"), F.get(p, 2))
-        ntz = F.concat(day, F.lit(" "), clock.cast("string"), F.lit(":"), F.get(p, 4), F.lit(":"), F.get(p, 5)).try_cast("timestamp_ntz")
+        told = F.concat(day, F.lit(" "), clock.cast("string"), F.lit(":"), F.get(p, 4), F.lit(":"), F.get(p, 5))
         stated = F.when(F.get(p, 8) != "", F.get(p, 8)).otherwise(F.trim(x["zone"]))
-        return F.struct(x["s"].alias("s"), p.alias("p"), ntz.alias("ntz"), stated.alias("zone"), offset_seconds(stated).alias("offset"))
+        return F.struct(x["s"].alias("s"), p.alias("p"), told.alias("told"), stated.alias("zone"), offset_seconds(stated).alias("offset"))
 
     def instant(x: Column) -> Column:
-        s, ntz, zone = x["s"], x["ntz"], x["zone"]
-        local = F.when(x["offset"].isNotNull(), _micros(ntz) - x["offset"].cast("long") * 1_000_000)
+        s, told, zone = x["s"], x["told"], x["zone"]
+        local = F.when(x["offset"].isNotNull(), _micros(told) - x["offset"].cast("long") * 1_000_000)
         if names:
-            local = local.when(zone.isin(names), _micros(F.convert_timezone(zone, F.lit("UTC"), ntz)))
+            utc = F.convert_timezone(zone, F.lit("UTC"), told.try_cast("timestamp_ntz"))
+            local = local.when(zone.isin(names), _micros(utc.cast("string")))
         number, digits = s.try_cast("decimal(20,0)"), F.length(s)
         epoch = (
             F.when(digits == 10, number * 1_000_000)
@@ -129,16 +143,17 @@ def instant_us(spark: SparkSession, text: Column, default_zone: Column, named_zo
 
     tidy = F.trim(F.regexp_replace(text, r"[\t\r\n 　]+", " "))
     one = F.array(F.struct(tidy.alias("s"), default_zone.cast("string").alias("zone")))
-    return F.get(F.transform(F.transform(F.transform(one, laid_out), pieces), instant), 0)
+    return F.get(F.transform(F.transform(F.transform(F.transform(one, laid_out), parted), pieces), instant), 0)
 
 
 def utc_us(spark: SparkSession, text: Column) -> Column:
     """``instant_us`` of a column that is UTC unless it says otherwise, with a short way for the usual notation."""
-    plain = _micros(text.try_cast("timestamp_ntz"))
-    return F.when(text.rlike(_PLAIN_UTC), plain).otherwise(instant_us(spark, text, F.lit("UTC"), named_zones=False))
+    return F.when(text.rlike(_PLAIN_UTC), _micros(text)).otherwise(instant_us(spark, text, F.lit("UTC"), named_zones=False))
 
 
 def ntz_us(ts: Column) -> Column:
     """Microseconds of a timestamp column in UTC without zone (TIMESTAMP_NTZ, or TIMESTAMP under a UTC session)."""
-    n = ts.cast("timestamp_ntz")
-    return _micros(n) + (F.extract(F.lit("SECOND"), n) % 1 * 1_000_000).cast("long")
+    session = SparkSession.getActiveSession()
+    if session is not None and session.conf.get("spark.sql.session.timeZone") == "UTC":
+        return F.unix_micros(ts.cast("timestamp"))
+    return _micros(ts.cast("timestamp_ntz").cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import sys
 import tempfile
 import uuid
@@ -30,10 +31,13 @@ def get_spark(master: str = "local[*]", app: str = "tidegauge", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``; only where that is unset
-    (tests, a single machine) is a temporary folder made and registered."""
+    """The folder all executors share, named by ``spark.checkpoint.dir``. On a single machine, where that is unset, a temporary folder is made and
+    registered; on a cluster, whose executors don't see it, that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         known = spark.sparkContext.getCheckpointDir()
         configured = known.rsplit("/", 1)[0] if known else tempfile.mkdtemp(prefix="tidegauge-")
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,25 +45,43 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def _on(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    """The Hadoop file system of a path, and the path for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _on(spark, path)
+    return system.exists(target)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, never used before."""
-    return f"{shared_dir(spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, never used before. All scratch paths of an application lie in one folder, which goes when the application ends, or by ``release``."""
+    root = f"{shared_dir(spark)}/tidegauge/{spark.sparkContext.applicationId}"
+    system, target = _on(spark, root)
+    system.deleteOnExit(target)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what the application's queries have written so far. For a long session, between queries: results that haven't been read yet, and indexes and stores without a path of their own, go too."""
+    drop_path(spark, f"{shared_dir(spark)}/tidegauge/{spark.sparkContext.applicationId}")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at replicated files, so a lost
-    executor costs no recomputation, and the result is computed once however often it is read."""
+    executor costs no recomputation, and the result is computed once however often it is read. ``by``: columns whose values become folders, for reads of some of them."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder (any Hadoop file system)."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(conf).delete(target, True)
+    system, target = _on(spark, path)
+    system.delete(target, True)
 
 
 def ship(spark: SparkSession, thing: Any) -> Callable[[], Any]:

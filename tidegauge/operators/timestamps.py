@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from tidegauge.functions.timeparse import instant_us
 from tidegauge.operators.lookup import lookup
-from tidegauge.session import scratch
+from tidegauge.session import exists, materialise, scratch, shared_dir
 
 KEYS = ["field", "raw", "zone"]
 _SCHEMA = "field string, raw string, zone string, utc_us long"
+#: Raised whenever ``instant_us`` reads something otherwise: an instant stands for a spelling only as long as the reading is the same.
+READING = 2
 
 
 class InstantDictionary:
@@ -23,17 +24,22 @@ class InstantDictionary:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or scratch(spark, "instants")
 
-    def table(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_SCHEMA).parquet(self.path)
-        except AnalysisException:
-            return None  # nothing persisted yet
+    @classmethod
+    def kept(cls, spark: SparkSession) -> InstantDictionary:
+        """The dictionary that stays in the shared folder from run to run. What a spelling means depends on it alone, so tables can share one; should two runs add a spelling at
+        the same time it is there twice, with the same instant, which ``normalise`` allows for."""
+        return cls(spark, f"{shared_dir(spark)}/tidegauge/instants-{READING}")
+
+    def table(self) -> DataFrame:
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], _SCHEMA)
+        return self.spark.read.schema(_SCHEMA).parquet(self.path)
 
     def update(self, spellings: DataFrame) -> None:
         """Add the new ones among ``spellings`` (field, raw, zone; may repeat)."""
         new = spellings.select(*KEYS).distinct()
-        if (known := self.table()) is not None:
-            new = new.join(known.select(*KEYS), KEYS, "left_anti")
+        if exists(self.spark, self.path):
+            new = new.join(self.table().select(*KEYS), KEYS, "left_anti")
         new.withColumn("utc_us", instant_us(self.spark, F.col("raw"), F.col("zone"))).write.mode("append").parquet(self.path)
 
 
@@ -52,14 +58,15 @@ def normalise(df: DataFrame, row_id: str, utc: str, local: str, zone: str, dicti
     """``row_id, utc_us`` of each row whose instant can be told: what ``utc`` says (UTC unless it states a zone), else what ``local``
     says in the zone it states or else in ``zone``. See ``functions.timeparse.instant_us`` for notations, repeated and skipped
     local times. Rows without an instant don't come out; ``row_id`` must be unique and not null; an empty table gives an empty result.
-    One spelling may have any share of the rows."""
+    One spelling may have any share of the rows. Without a ``dictionary`` a new one is made for this call."""
     spark = df.sparkSession
     dictionary = dictionary or InstantDictionary(spark)
     texts = spellings(df, row_id, utc, local, zone)
-    weights = texts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"))
+    weights = materialise(texts.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")), "spellings")
     dictionary.update(weights)
-    entries = dictionary.table().where("utc_us is not null").join(weights, KEYS)
-    total = df.count()
+    known = dictionary.table().where("utc_us is not null").groupBy(*KEYS).agg(F.min("utc_us").alias("utc_us"))
+    entries = known.join(weights, KEYS)
+    total = weights.agg(F.sum("n")).first()[0] or 0
     instants = lookup(texts, entries, KEYS, "n", total)
     best = F.coalesce(F.max(F.when(F.col("field") == "utc", F.col("utc_us"))), F.max(F.when(F.col("field") == "local", F.col("utc_us"))))
     return instants.groupBy("row_id").agg(best.alias("utc_us")).withColumnRenamed("row_id", row_id)

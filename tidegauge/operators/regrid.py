@@ -8,14 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SLOT_S = 300
 #: So many missing slots in a row mean that the source was off; they are no part of the series.
 OFF_SLOTS = 288
-#: Slots of one piece of a series; longer series are worked off in pieces.
-PIECE_SLOTS = 4032
 #: Window length, number of components kept and tolerance of the imputation; what hasn't settled after MOST_ROUNDS is reported. Rounds that the next guess is drawn from.
 WINDOW, RANK, TOLERANCE, MOST_ROUNDS, MEMORY = 24, 3, 1e-3, 20_000, 5
 
@@ -79,13 +76,11 @@ def ssa_impute(x: np.ndarray, missing: np.ndarray, name: str = "a series") -> np
     return y + mean
 
 
-def _piece(source: int, slot: np.ndarray, value: np.ndarray, before: int, before_value: float) -> list[tuple]:
-    """The grid of one piece, from the slot after ``before`` (the last of the piece before, -1 if none) to its own last slot."""
-    if before >= 0:
-        slot, value = np.r_[before, slot], np.r_[before_value, value]
+def _grid(source: int, slot: np.ndarray, value: np.ndarray) -> list[tuple]:
+    """The even grid of one series, without the stretches where it was off."""
     cut = np.flatnonzero(np.diff(slot) - 1 >= OFF_SLOTS) + 1
     out = []
-    for i, (s, v) in enumerate(zip(np.split(slot, cut), np.split(value, cut), strict=True)):
+    for s, v in zip(np.split(slot, cut), np.split(value, cut), strict=True):
         grid = np.arange(s[0], s[-1] + 1)
         missing = np.ones(len(grid), bool)
         missing[s - s[0]] = False
@@ -93,38 +88,36 @@ def _piece(source: int, slot: np.ndarray, value: np.ndarray, before: int, before
         x[s - s[0]] = v
         if missing.any():
             x = ssa_impute(x, missing, f"source {source}, slots {grid[0] * SLOT_S} to {grid[-1] * SLOT_S}")
-        skip = int(before >= 0 and i == 0)  # that slot belongs to the piece before
-        out.append((np.full(len(grid) - skip, source), grid[skip:] * SLOT_S, x[skip:], missing[skip:]))
+        out.append((np.full(len(grid), source), grid * SLOT_S, x, missing))
     return out
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (source, piece, slot) to grids; a piece may reach over batches."""
-    held: pa.Table | None = None
+def _series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (source, slot) to grids; a series may reach over batches."""
+    held: list[pa.RecordBatch] = []  # of the last source only
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        source, piece, slot, value, before, before_value = (table.column(i).to_numpy() for i in range(6))
-        edge = np.flatnonzero((source[1:] != source[:-1]) | (piece[1:] != piece[:-1])) + 1
+        source, slot, value = (table.column(i).to_numpy() for i in range(3))
+        edge = np.flatnonzero(source[1:] != source[:-1]) + 1
         out = []
         for a, b in zip(np.r_[0, edge], np.r_[edge, len(source)], strict=True):
-            out += _piece(source[a], slot[a:b], value[a:b], int(before[a]), float(before_value[a]))
-        if out:
-            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ARROW)
+            out += _grid(source[a], slot[a:b], value[a:b])
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_ARROW)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        source, piece = table.column(0).to_numpy(), table.column(1).to_numpy()
-        tail = np.flatnonzero((source != source[-1]) | (piece != piece[-1]))
-        cut = int(tail[-1]) + 1 if len(tail) else 0
-        if cut:
-            yield from work(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None:
-        yield from work(held)
+        source = batch.column(0).to_numpy()
+        last = int(np.searchsorted(source, source[-1]))
+        if held and (last or source[-1] != held[-1].column(0)[0].as_py()):
+            yield from work(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        elif last:
+            yield from work(pa.Table.from_batches([batch.slice(0, last)]))
+        held.append(batch.slice(last))
+    if held:
+        yield from work(pa.Table.from_batches(held))
 
 
 def regular_series(readings: DataFrame, source: str, at_us: str, value: str) -> DataFrame:
@@ -132,21 +125,11 @@ def regular_series(readings: DataFrame, source: str, at_us: str, value: str) ->
     ``value`` is the mean of the slot's readings, or imputed (``filled``) where there is none; stretches of OFF_SLOTS or more slots without a reading
     are left out, and nothing is imputed across them.
 
-    Readings are averaged per slot before they are shuffled; a series is worked off in pieces of PIECE_SLOTS slots, each with the last slot of the piece before it,
-    so no task holds more than a piece. Rows with a null or NaN in any of the three columns are no readings. An empty table gives an empty result."""
+    Readings are averaged per slot before they are shuffled, so a series has at most one row per SLOT_S seconds of the time it covers however many readings it has, and is imputed as a whole in one task:
+    ten years are a million slots, some hundred MB while they are worked on. Rows with a null or NaN in any of the three columns are no readings. An empty table gives an empty result."""
     slots = (
         readings.select(F.col(source).cast("long").alias("source"), F.floor(F.col(at_us) / (SLOT_S * 1_000_000)).cast("long").alias("slot"), F.col(value).cast("double").alias("v"))
         .where("source is not null and slot is not null and v is not null and not isnan(v)")
         .groupBy("source", "slot").agg(F.avg("v").alias("v"))
-        .withColumn("piece", F.floor(F.col("slot") / PIECE_SLOTS).cast("long"))
     )
-    ends = slots.groupBy("source", "piece").agg(F.max("slot").alias("end_slot"), F.max_by("v", "slot").alias("end_value"))
-    along = W.partitionBy("source").orderBy("piece")
-    before = ends.select("source", "piece", F.coalesce(F.lag("end_slot").over(along), F.lit(-1)).alias("before"), F.coalesce(F.lag("end_value").over(along), F.lit(0.0)).alias("before_value"))
-    return (
-        slots.join(before, ["source", "piece"])
-        .select("source", "piece", "slot", "v", "before", "before_value")
-        .repartition("source", "piece")
-        .sortWithinPartitions("source", "piece", "slot")
-        .mapInArrow(_pieces, SERIES_SCHEMA)
-    )
+    return slots.repartition("source").sortWithinPartitions("source", "slot").mapInArrow(_series, SERIES_SCHEMA)

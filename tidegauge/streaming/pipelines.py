@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidegauge.operators.dedup import IdentifierIndex, first_deliveries
 from tidegauge.operators.latedata import LambdaView
-from tidegauge.session import scratch
+from tidegauge.session import exists, scratch
 
 
 def windowed(stream: DataFrame, at: str, dims: list[str], aggregates: list[Column], window: str, slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
@@ -51,7 +51,7 @@ def deduplicating_batches(index: IdentifierIndex, key: Column, received: str, ro
         index.novel(first_deliveries(batch, key, received, row_id)).write.parquet(path)
         novel = spark.read.parquet(path)
         keyless = batch.where(key.isNull())
-        kept = batch.join(novel.select(F.col("b.id").alias(row_id)), row_id, "left_semi")
+        kept = batch.join(novel.select(F.col("kept").alias(row_id)), row_id, "left_semi")
         sink(kept.unionByName(keyless), batch_id)
         index.add(novel)
         if len(index.runs) >= compact_every:
@@ -210,16 +210,18 @@ def terminating_pods(stream: DataFrame, pod: str, at: str, deleting: str, limit_
     return stream.groupBy(pod).applyInPandasWithState(step, f"{pod} {kind}, {at} long, state string", "since long, last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def late_spans(history_path: str, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function for traces: of each batch, all spans known of the traces it touches go to ``sink`` (which sums them up anew), then the batch joins the history."""
     from tidegauge.operators.topology import merged_traces
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        try:
-            history = spark.read.schema(batch.schema).parquet(history_path).where(F.col("batch") < batch_id).drop("batch") if batch_id else spark.createDataFrame([], batch.schema)
-        except Exception:  # noqa: BLE001 - no history yet
-            history = spark.createDataFrame([], batch.schema)
+        earlier = exists(spark, history_path)  # a batch that is repeated may find its own rows there
+        history = spark.read.schema(f"{_ddl(batch)}, batch int").parquet(history_path).where(F.col("batch") < batch_id).drop("batch") if earlier else spark.createDataFrame([], batch.schema)
         sink(merged_traces(history, batch), batch_id)
         batch.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
 

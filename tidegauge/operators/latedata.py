@@ -14,6 +14,8 @@ from tidegauge.session import materialise, scratch
 
 KEYS = ["source", "period_start"]
 FIGURES = ["n_first", "n_final", "n_dropped"]
+_FIGURES = "source long, period_start long, " + ", ".join(f"{c} long" for c in FIGURES)
+DAY_US = 86_400_000_000
 
 
 @dataclass(frozen=True)
@@ -42,54 +44,72 @@ def figures(log: DataFrame, rule: Lateness) -> DataFrame:
 
 @dataclass
 class LambdaView:
-    """``frozen``: paths of periods no record can change any more; ``provisional``: the figures of the others."""
+    """``frozen``: written figures of periods no record can change any more; ``open``: those that the batch layer last made of the others;
+    ``increments``: what the fast layer has written since. All are files, so a view survives the loss of an executor and costs no recomputation."""
 
     spark: SparkSession
     rule: Lateness = field(default_factory=Lateness)
     frozen: list[str] = field(default_factory=list)
-    provisional: DataFrame | None = None
+    open: str | None = None
+    increments: list[str] = field(default_factory=list)
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(_FIGURES).parquet(*paths) if paths else self.spark.createDataFrame([], _FIGURES)
 
     def add(self, batch: DataFrame) -> None:
-        """Fast layer: increment the provisional figures by a batch of first deliveries."""
-        more = figures(batch, self.rule)
-        if self.provisional is not None:
-            more = self.provisional.unionByName(more).groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in FIGURES])
-        self.provisional = more
+        """Fast layer: write the figures of a batch of first deliveries as an increment."""
+        path = scratch(self.spark, "increment")
+        figures(batch, self.rule).write.parquet(path)
+        self.increments.append(path)
+
+    def provisional(self) -> DataFrame:
+        """Figures of the open periods: those of the last batch run and the increments since."""
+        parts = self._read(([self.open] if self.open else []) + self.increments)
+        return parts.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in FIGURES])
 
     def recompute(self, log: DataFrame, now_us: int | None, since_us: int | None) -> None:
         """Batch layer, at ``now_us``: figures of the open periods anew from the full log, which replace the provisional ones; periods past
-        ``memory`` are frozen. ``since_us``: all periods that ended ``memory`` or more before it are frozen already (prunes the scan)."""
+        ``memory`` are frozen. ``since_us``: all periods that ended ``memory`` or more before it are frozen already (prunes the scan, by day if ``log`` has a column ``day``)."""
         rule, end = self.rule, F.col("period_start") + self.rule.period + self.rule.memory
         known = log
         if since_us is not None:  # an open period's records have event times after its start
-            known = known.where(F.col("event_us") >= since_us - (rule.period + rule.memory) * 1_000_000)
+            first = since_us - (rule.period + rule.memory) * 1_000_000
+            known = known.where(F.col("event_us") >= first)
+            if "day" in log.columns:
+                known = known.where(F.col("day") >= first // DAY_US)
         anew = figures(known, rule)
         if since_us is not None:
             anew = anew.where(end * 1_000_000 >= since_us)
-        anew = materialise(anew, "open-periods")
+        anew = materialise(anew, "recomputed")
         past = F.lit(True) if now_us is None else end * 1_000_000 < now_us
-        path = scratch(self.spark, "frozen")
-        anew.where(past).write.parquet(path)
-        self.frozen.append(path)
-        self.provisional = anew.where(~past)
+        frozen, still_open = scratch(self.spark, "frozen"), scratch(self.spark, "open")
+        anew.where(past).write.parquet(frozen)
+        anew.where(~past).write.parquet(still_open)
+        self.frozen.append(frozen)
+        self.open, self.increments = still_open, []
 
     def view(self) -> DataFrame:
         """All periods as known so far: frozen, recomputed, and incremented since the last batch run."""
-        schema = "source long, period_start long, " + ", ".join(f"{c} long" for c in FIGURES)
-        if not self.frozen:
-            return self.provisional
-        return self.spark.read.schema(schema).parquet(*self.frozen).unionByName(self.provisional)
+        return self._read(self.frozen).unionByName(self.provisional())
+
+    def differing(self, other: DataFrame) -> DataFrame:
+        """Periods whose provisional figures aren't those of ``other`` (figures of the same records): ``source, period_start``. None, as long as no record was counted twice or lost."""
+        told = F.struct(*FIGURES)
+        mine, theirs = (d.select(*KEYS, told.alias(n)) for d, n in ((self.provisional(), "mine"), (other, "theirs")))
+        return mine.join(theirs, KEYS, "full").where(~F.col("mine").eqNullSafe(F.col("theirs"))).select(*KEYS)
 
 
 def corrected_periods(log: DataFrame, rule: Lateness | None = None, runs: int = 3) -> DataFrame:
     """``source, period_start, n_first, n_final, n_dropped`` after all of ``log`` (source, event_us, received_us: first deliveries only) has been
-    worked off: the fast layer adds ``runs`` batches by time of receipt, and between them the batch layer runs. Any number of runs gives the same result.
+    worked off: the fast layer adds ``runs`` batches by time of receipt, and after each but the last the batch layer runs. Any number of runs gives the same result.
 
     Rows with a null in any of the three columns belong to no period. An empty table gives an empty result. A source may have any share of the
-    rows: counts are aggregated before the shuffle."""
+    rows: counts are aggregated before the shuffle. The log is kept by day of event (a day in as many files as its size asks for), so a batch run reads only the days that are open."""
     spark = log.sparkSession
     rule = rule or Lateness()
-    log = materialise(log.where("source is not null and event_us is not null and received_us is not null"), "log")
+    log = log.where("source is not null and event_us is not null and received_us is not null").select("source", "event_us", "received_us")
+    log = log.withColumn("day", F.floor(F.col("event_us") / DAY_US).cast("int"))
+    log = materialise(log.hint("rebalance", "day"), "log", by=["day"])
     cuts = log.select(F.col("received_us").cast("double").alias("r")).approxQuantile("r", [i / runs for i in range(1, runs)], 0.02) if runs > 1 else []
     view, since = LambdaView(spark, rule), None
     for now in sorted({int(c) for c in cuts}):

@@ -94,7 +94,8 @@ def p2_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 @registry.add("p3_found")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return timestamps.normalise(table(spark, folder, "proc_test_data"), "rec_id", "utctime", "datetime", "timezone")
+    """With the dictionary that is kept in the shared folder: a later run parses only what no earlier one has met."""
+    return timestamps.normalise(table(spark, folder, "proc_test_data"), "rec_id", "utctime", "datetime", "timezone", timestamps.InstantDictionary.kept(spark))
 
 
 def message_key() -> Column:
@@ -169,11 +170,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
         message_key().alias("key"), "rec_id", F.col("bk_host_id").cast("long").alias("source"), ntz_us(F.col("recv_time")).alias("received_us"),
         F.col("data.utctime").alias("utctime"))
     rows = rows.withColumn("utc_us", utc_us(spark, F.col("utctime"))).withColumn("event_us", usable(F.col("utc_us"), F.col("received_us")))
-    first = F.min(F.struct("received_us", "rec_id", "source", "event_us")).alias("m")
-    # The identifier alone is shuffled as 128 bits; of a message's deliveries one is left map-side.
-    once = rows.where("key is not null").groupBy(F.xxhash64("key"), F.xxhash64(F.lit("second"), F.reverse("key"), "key")).agg(first).select("m.*")
-    own = rows.where("key is null").select("received_us", "rec_id", "source", "event_us")
-    log = once.unionByName(own).select("source", "event_us", "received_us")
+    rows = rows.withColumn("arrival", dedup.arrival(F.col("received_us"), F.col("rec_id")))
+    # The identifier alone is shuffled as 128 bits; of a message's deliveries one is left map-side, by a hash aggregate.
+    of_first = [F.min_by(c, "arrival").alias(c) for c in ("source", "event_us", "received_us")]
+    once = rows.where("key is not null").groupBy(F.xxhash64("key"), F.xxhash64(F.lit("second"), F.reverse("key"), "key")).agg(*of_first)
+    own = rows.where("key is null")
+    log = once.select("source", "event_us", "received_us").unionByName(own.select("source", "event_us", "received_us"))
     changed = latedata.corrected_periods(log).where("n_final > n_first or n_dropped > 0")
     return changed.withColumnRenamed("source", "bk_host_id")
 

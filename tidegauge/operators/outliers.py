@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidegauge.operators.dedup import arrival, arrived_id
 from tidegauge.session import materialise
 
 #: Fences lie this many interquartile ranges outside the quartiles.
@@ -20,40 +21,26 @@ HOUR_READINGS = 24
 SKETCH = 400
 #: Width of the time buckets that part a source's readings into tasks.
 BUCKET_US = 6 * 3600 * 1_000_000
-#: Sources of more readings are spread over tasks. Up to MOST_NAMED of them are named in the plan and their fences broadcast; more are joined.
-LARGE_SOURCE, MOST_NAMED = 500_000, 1_000
-
-
-def run_lengths(df: DataFrame, source: list[str], at: str, order: list[str], tokens: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
-    """Adds ``run_<token>``: how many consecutive rows of the source, in ``order`` (which starts with ``at``, us), have the same token.
-
-    Runs are counted within time buckets, so that a source with a third of all rows is spread over tasks; each bucket's first and last run are
-    then stitched across borders by a window over at most two rows per bucket."""
-    rows = df.withColumn("_b", F.floor(F.col(at) / bucket_us).cast("long"))
-    inside = W.partitionBy(*source, "_b").orderBy(*order)
-    for t in tokens:
-        changed = F.when(F.lag(F.struct(t)).over(inside) == F.struct(t), 0).otherwise(1)
-        rows = rows.withColumn(f"_c_{t}", changed)
-    for t in tokens:
-        rows = rows.withColumn(f"_r_{t}", F.sum(f"_c_{t}").over(inside.rowsBetween(W.unboundedPreceding, 0))).drop(f"_c_{t}")
-    for t in tokens:
-        rows = rows.withColumn(f"_n_{t}", F.count(F.lit(1)).over(W.partitionBy(*source, "_b", f"_r_{t}")))
-    for t in tokens:
-        rows = rows.withColumn(f"_m_{t}", F.max(f"_r_{t}").over(W.partitionBy(*source, "_b")))
-    rows = materialise(rows, "runs")
-    along = W.partitionBy(*source).orderBy("_b", "_r")
-    out = rows
-    for t in tokens:
-        r, n, m = f"_r_{t}", f"_n_{t}", f"_m_{t}"
-        edge = rows.where((F.col(r) == 1) | (F.col(r) == F.col(m))).groupBy(*source, "_b", F.col(r).alias("_r")).agg(
-            F.first(t).alias("_t"), F.first(n).alias("_n"))
-        goes_on = (F.lag(F.struct("_t")).over(along) == F.struct("_t")) & (F.col("_r") == 1)
-        island = edge.withColumn("_i", F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, 0)))
-        whole = island.withColumn("_whole", F.sum("_n").over(W.partitionBy(*source, "_i"))).select(
-            *source, "_b", F.col("_r").alias(r), F.col("_whole"))
-        longer = whole.join(edge.select(*source, "_b", F.col("_r").alias(r), "_n"), [*source, "_b", r]).where("_whole > _n").drop("_n")
-        out = out.join(longer, [*source, "_b", r], "left").withColumn(f"run_{t}", F.coalesce("_whole", n)).drop("_whole", r, n, m)
-    return out.drop("_b")
+#: A change between neighbouring readings is implausible this many interquartile ranges above the upper quartile of the source's own changes per minute.
+RATE_FENCE = 1.5
+#: Readings nearer than this count as so far apart.
+LEAST_STEP_US = 60_000_000
+
+
+def _stitched(pieces: DataFrame, token: str) -> DataFrame:
+    """``source, _b, _r`` of the first and last runs of the time buckets, with ``whole`` (readings) and ``jump`` (largest) of the run that they are
+    part of across buckets. A window over at most two rows per bucket and source."""
+    along = W.partitionBy("source").orderBy("_b", "_r")
+    edge = pieces.where("is_first or is_last")
+    goes_on = F.coalesce(F.lag(token).over(along) == F.col(token), F.lit(False)) & F.col("is_first")
+    island = edge.withColumn("_i", F.sum(F.when(goes_on, 0).otherwise(1)).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    of = W.partitionBy("source", "_i")
+    return island.select("source", "_b", "_r", F.sum("n").over(of).alias("whole"), F.max("jump").over(of).alias("whole_jump"))
+
+
+def _with_whole(pieces: DataFrame, token: str) -> DataFrame:
+    joined = pieces.join(_stitched(pieces, token), ["source", "_b", "_r"], "left")
+    return joined.withColumn("n", F.coalesce("whole", "n")).withColumn("jump", F.coalesce("whole_jump", "jump")).drop("whole", "whole_jump")
 
 
 def _quartiles(sketch: Column) -> list[Column]:
@@ -82,71 +69,93 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
         F.map_from_entries("hours").alias("hours"))
 
 
-def _far(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds the source's figures and ``far``: outside the fences both of the source and of the hour, if that is a context."""
-    joined = rows.join(ranges, "source")
+def _per_minute(value: Column, at: Column, other: Column) -> Column:
+    """Change from or to another reading (a struct of value and at), per minute."""
+    return F.abs(value - other["value"]) * 60e6 / F.greatest(F.abs(at - other["at"]), F.lit(LEAST_STEP_US))
+
+
+def _steps(once: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each reading beside its neighbours in the same source and time bucket: ``far`` (outside the fences both of the source and of the hour, if that is a context), the numbers of its runs of
+    equal values (``r_value``) and of equal farness (``r_far``), whether a neighbour is equal, and the change per minute from the possible reading before. One sort serves all windows."""
     outside = lambda low, high: (F.col("value") < low) | (F.col("value") > high)
     context = F.try_element_at("hours", F.col("hour"))
     far = F.col("possible") & outside(F.col("low"), F.col("high")) & F.coalesce(outside(context["low"], context["high"]), F.lit(True))
-    return joined.withColumn("far", far).drop("hours", "low", "high")
+    rows = once.join(ranges, "source").withColumn("far", far).withColumn("_b", F.floor(F.col("at") / BUCKET_US).cast("long"))
+    rows = rows.select("source", "_b", "id", "message", "at", "received", "value", "possible", "far", (F.col("possible") & (F.col("value") != F.col("q2"))).alias("off"), "least")
+    inside = W.partitionBy("source", "_b").orderBy("at", "received", "id")
+    so_far, earlier = inside.rowsBetween(W.unboundedPreceding, 0), inside.rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "same": F.lag("value").over(inside) == F.col("value"), "same_next": F.coalesce(F.lead("value").over(inside) == F.col("value"), F.lit(False)),
+        "same_far": F.lag("far").over(inside) == F.col("far"), "ends": F.lead("id").over(inside).isNull(),
+        "before": F.last(F.when(F.col("possible"), F.struct("value", "at")), ignorenulls=True).over(earlier)})
+    rows = rows.withColumns({
+        "r_value": F.sum(F.when(F.col("same"), 0).otherwise(1)).over(so_far), "r_far": F.sum(F.when(F.col("same_far"), 0).otherwise(1)).over(so_far),
+        "rate": F.when(F.col("possible"), _per_minute(F.col("value"), F.col("at"), F.col("before")))})
+    rows = rows.withColumns({"n_value": F.max("r_value").over(W.partitionBy("source", "_b")), "n_far": F.max("r_far").over(W.partitionBy("source", "_b")), "rate_next": F.lead("rate").over(inside)})
+    return rows.select("source", "_b", "id", "message", "at", "value", "possible", "far", "off", "least", "r_value", "r_far", "n_value", "n_far", "rate", "rate_next",
+        F.coalesce("same", F.lit(False)).alias("same"), "same_next", F.col("same").isNull().alias("begins"), "ends")
+
+
+def _pieces(steps: DataFrame, token: str, run: str, runs: str, picked: Column) -> DataFrame:
+    """Runs within their buckets: those that ``picked`` rows are part of, and the first and last of each bucket."""
+    some = steps.where(picked | F.col("begins") | F.col("ends"))
+    return some.groupBy("source", "_b", F.col(run).alias("_r")).agg(
+        F.first(token).alias(token), F.count(F.lit(1)).alias("n"), F.max(F.greatest("rate", "rate_next")).alias("jump"),
+        F.first(F.col(run) == 1).alias("is_first"), F.first(F.col(run) == F.col(runs)).alias("is_last"))
+
+
+def _border_jumps(steps: DataFrame) -> DataFrame:
+    """``source, _b, enter, leave``: changes per minute over the borders of a bucket, between its first and last possible reading and the nearest in other buckets."""
+    told = F.when(F.col("possible"), F.struct("value", "at"))
+    ends = steps.groupBy("source", "_b").agg(F.min_by(told, F.when(F.col("possible"), F.col("at"))).alias("first"), F.max_by(told, F.when(F.col("possible"), F.col("at"))).alias("last"))
+    along = W.partitionBy("source").orderBy("_b")
+    before = F.last("last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1))
+    borders = ends.withColumn("enter", _per_minute(F.col("first.value"), F.col("first.at"), before))
+    return borders.select("source", "_b", "enter", F.lead("enter").over(along).alias("leave"))
+
+
+def _changes(steps: DataFrame, borders: DataFrame) -> DataFrame:
+    """``source, fastest, n_off``: the largest plausible change per minute, from a sketch of all the source's changes, within buckets and over their borders; readings beside the median."""
+    q = _quartiles(F.col("sketch"))
+    width = F.greatest(q[2] - q[0], q[1] * 0.02, F.col("least") * 0.01)
+    # A source with a single reading has no change, and none is implausible.
+    across = borders.select("source", F.lit(None).cast("double").alias("least"), F.col("enter").alias("rate"), F.lit(False).alias("off"))
+    told = steps.select("source", "least", "rate", "off").unionByName(across).groupBy("source").agg(
+        F.max("least").alias("least"), F.kll_sketch_agg_double("rate", F.lit(SKETCH)).alias("sketch"), F.count("rate").alias("n"), F.count_if("off").alias("n_off"))
+    return told.select("source", F.when(F.col("n") > 0, q[2] + RATE_FENCE * width).alias("fastest"), "n_off")
 
 
-def _reason(runs: DataFrame) -> DataFrame:
-    """``reason`` from ``run_value``, ``run_far`` and what the source's other readings are. What lies outside the fences for longer than a burst (and
+def _reasons(steps: DataFrame, ranges: DataFrame) -> DataFrame:
+    """``source, id, message, reason`` of the readings that are stuck or spikes. What lies outside the fences for longer than a burst (and
     isn't stuck) is a level of the source; a burst up to such a level, or down to it, returns to it and is no spike."""
-    runs = runs.withColumn("burst", F.col("far") & (F.col("run_far") <= BURST))
+    v = _with_whole(_pieces(steps, "value", "r_value", "n_value", F.col("same") | F.col("same_next")), "value").select("source", "_b", F.col("_r").alias("r_value"), F.col("n").alias("run_value"))
+    borders = materialise(_border_jumps(steps), "borders")
+    f = _pieces(steps, "far", "r_far", "n_far", F.col("far")).join(borders, ["source", "_b"], "left")
+    over = lambda flag, c: F.when(F.col(flag), F.col(c))
+    f = f.withColumn("jump", F.greatest("jump", over("is_first", "enter"), over("is_last", "leave")))
+    f = _with_whole(f.drop("enter", "leave"), "far").where("far").select("source", "_b", F.col("_r").alias("r_far"), F.col("n").alias("run_far"), "jump")
+    some = steps.where("far or same or same_next or begins or ends").select("source", "_b", "id", "message", "value", "possible", "far", "off", "r_value", "r_far")
+    marked = some.join(v, ["source", "_b", "r_value"], "left").join(f, ["source", "_b", "r_far"], "left").where("far or run_value >= " + str(STUCK))
+    marked = materialise(marked.withColumn("run_value", F.coalesce("run_value", F.lit(1))).withColumn("burst", F.col("far") & (F.col("run_far") <= BURST)), "marked")
+    marked = marked.join(ranges.select("source", "n_source", "q1", "q2", "q3", "width"), "source")
     level = F.col("far") & ~F.col("burst") & (F.col("run_value") < STUCK)
-    other = ~F.col("burst") & F.col("possible") & (F.col("value") != F.col("q2"))
-    about = runs.groupBy("source").agg(
-        F.count_if(other & F.col("leads")).alias("n_other"),
+    about = marked.groupBy("source").agg(
+        F.count_if(F.col("burst") & F.col("off")).alias("n_off_burst"),
         F.max(F.when(level & (F.col("value") > F.col("q3")), F.col("value"))).alias("top"),
         F.min(F.when(level & (F.col("value") < F.col("q1")), F.col("value"))).alias("bottom"),
-    )
-    told = runs.where((F.col("run_value") >= STUCK) | F.col("burst")).join(about, "source")
+    ).join(_changes(steps, borders), "source")
+    told = marked.where((F.col("run_value") >= STUCK) | F.col("burst")).join(about, "source")
     beyond = F.when(F.col("value") > F.col("q3"), F.col("top").isNull() | (F.col("value") > F.col("top") + F.col("width"))).otherwise(
         F.col("bottom").isNull() | (F.col("value") < F.col("bottom") - F.col("width")))
-    told = told.withColumn("burst", F.col("burst") & beyond)
-    told = told.withColumn("n_burst", F.count_if(F.col("burst") & F.col("leads")).over(W.partitionBy("source")))
+    told = told.withColumn("burst", F.col("burst") & beyond & F.coalesce(F.col("jump") > F.col("fastest"), F.lit(False)))
+    bursts = told.groupBy("source").agg(F.count_if("burst").alias("n_burst"))
     few = F.col("n_burst") <= F.greatest(F.lit(BURST), F.col("n_source") * FEW)
-    changes = (F.col("q3") > F.col("q1")) | (F.col("n_other") >= 3)
-    reason = F.when((F.col("run_value") >= STUCK) & changes & F.col("possible"), "stuck").when(F.col("burst") & few, "spike")
-    return told.select("source", "id", reason.alias("reason")).where("reason is not null")
-
-
-def _whole_sources(rows: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Sources of bounded size: one shuffle by source, then windows within it. Deliveries of a message follow its first one and share its run."""
-    judged = _far(rows, ranges)
-    deliveries = W.partitionBy("source", "message").orderBy("received", "id")
-    judged = judged.withColumns({
-        "k": F.row_number().over(deliveries), "first_at": F.first("at").over(deliveries), "first_received": F.first("received").over(deliveries),
-        "first_id": F.first("id").over(deliveries), "first_value": F.first("value").over(deliveries), "first_far": F.first("far").over(deliveries)})
-    judged = judged.withColumns({"leads": F.col("k") == 1, "value": F.col("first_value"), "far": F.col("first_far")})
-    order = W.partitionBy("source").orderBy("first_at", "first_received", "first_id", "k")
-    for t in ("value", "far"):
-        judged = judged.withColumn(f"_c_{t}", F.when(F.lag(F.struct(t)).over(order) == F.struct(t), 0).otherwise(1))
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    judged = judged.withColumns({f"_r_{t}": F.sum(f"_c_{t}").over(so_far) for t in ("value", "far")})
-    for t in ("value", "far"):
-        judged = judged.withColumn(f"run_{t}", F.count_if("leads").over(W.partitionBy("source", f"_r_{t}")))
-    return _reason(judged.select("source", "id", "value", "possible", "far", "leads", "run_value", "run_far", "n_source", "q1", "q2", "q3", "width"))
-
-
-def _split_sources(rows: DataFrame, ranges: DataFrame, few: bool) -> DataFrame:
-    """Sources too large for a task: first deliveries by an aggregate over messages, runs by time buckets and stitching; what is found of a message
-    is then reported for its other deliveries."""
-    own = F.min(F.struct("received", "id", "at", "hour", "value", "possible")).alias("m")
-    rows = materialise(rows, "large-sources")
-    once = materialise(rows.groupBy("source", "message").agg(own).select("source", "message", "m.*").withColumn("tie", F.col("received")), "messages")
-    runs = run_lengths(
-        _far(once, F.broadcast(ranges) if few else ranges).withColumn("leads", F.lit(True)),
-        ["source"], "at", ["at", "tie", "id"], ["value", "far"],
-    )
-    found = materialise(_reason(runs).join(once.select("source", "id", "message"), ["source", "id"]), "large-found")
-    copies = rows.join(found.select("source", "message", "reason", F.col("id").alias("first_id")), ["source", "message"]).where("id != first_id")
-    return found.select("source", "id", "reason").unionByName(copies.select("source", "id", "reason"))
-
-
-def implausible(readings: DataFrame, large: int = LARGE_SOURCE) -> DataFrame:
+    varies = (F.col("q3") > F.col("q1")) | (F.col("n_off") - F.col("n_off_burst") >= 3)
+    reason = F.when((F.col("run_value") >= STUCK) & varies & F.col("possible"), "stuck").when(F.col("burst") & few, "spike")
+    return told.join(bursts, "source").select("source", "id", "message", reason.alias("reason")).where("reason is not null")
+
+
+def implausible(readings: DataFrame) -> DataFrame:
     """``source, id, reason`` ('stuck' or 'spike') of the deliveries whose reading doesn't fit its source.
 
     ``readings``: ``source`` (string), ``id`` (unique), ``message`` (binary or string; deliveries with the same one are one reading, of which the earliest
@@ -154,20 +163,17 @@ def implausible(readings: DataFrame, large: int = LARGE_SOURCE) -> DataFrame:
     but don't count towards what is normal), ``least`` (the least width of a fence unit, one per source).
 
     Stuck: a run of STUCK or more equal values, if the source has other values beside single excursions. Spike: outside the fences both of the source and
-    of its hour of day (where that has HOUR_READINGS), in an excursion of at most BURST readings, however fast it comes and goes (the rate of change isn't looked at); such excursions
-    must be at most FEW of the source's readings. Sources without a name aren't judged. An empty table gives an empty result. Sources of more than
-    ``large`` readings take a way that spreads them over tasks, with the same result."""
+    of its hour of day (where that has HOUR_READINGS), in an excursion of at most BURST readings that comes or goes at an implausible rate of change (beyond RATE_FENCE by the source's own sketch of
+    changes per minute); such excursions must be at most FEW of the source's readings. Sources without a name aren't judged. An empty table gives an empty result.
+
+    Readings are written once and then worked off in time buckets per source, whatever the source's share of the rows; across buckets travel one or two rows of each."""
     hour = F.pmod(F.floor(F.col("at") / 3_600_000_000), F.lit(24)).cast("int")
-    rows = readings.where("source is not null and message is not null and value is not null").withColumn("hour", hour)
+    columns = ["source", "id", "message", "at", "received", "value", "possible", "least"]
+    rows = materialise(readings.where("source is not null and message is not null and value is not null").select(*columns, hour.alias("hour")), "readings")
     ranges = materialise(normal_ranges(rows), "ranges")
-    big = ranges.where(F.col("n_source") > large)
-    names = [r.source for r in big.select("source").limit(MOST_NAMED + 1).collect()]
-    rows = rows.drop("least")
-    if not names:
-        return _whole_sources(rows, ranges)
-    if len(names) <= MOST_NAMED:
-        of_big = F.col("source").isin(names)
-        small, large_rows = rows.where(~of_big), rows.where(of_big)
-    else:
-        small, large_rows = (rows.join(big.select("source"), "source", how) for how in ("left_anti", "left_semi"))
-    return _whole_sources(small, ranges.where(F.col("n_source") <= large)).unionByName(_split_sources(large_rows, big, len(names) <= MOST_NAMED))
+    number = rows.withColumn("arrival", arrival(F.col("received"), F.col("id")))
+    of_first = [F.min_by(c, "arrival").alias(c) for c in ("at", "received", "value", "possible", "hour", "least")]
+    once = number.groupBy("source", "message").agg(arrived_id(F.min("arrival")).alias("id"), *of_first)
+    steps = materialise(_steps(once, ranges), "steps")
+    found = _reasons(steps, ranges).select("source", "message", "reason")
+    return rows.select("source", "id", "message").join(found, ["source", "message"]).select("source", "id", "reason")

@@ -96,6 +96,7 @@ def test_hierarchy_both_ways_against_brute_force(spark, limit):
     want = brute_tree(rows)
     got = {(r.grp, r.node): r for r in hierarchy.paths(tree).collect()}
     assert got.keys() == want.keys()
+    assert {(r.grp, r.node): r.path for r in hierarchy.paths(tree, bucket=7).collect()} == {k: r.path for k, r in got.items()}
     for key, (parent, root, depth, path) in want.items():
         r = got[key]
         assert (r.parent, r.root, r.depth, "/".join(r.path)) == (parent, root, depth, path), key
@@ -151,7 +152,7 @@ def test_dictionary_grows_and_parses_once(spark):
 
 
 def test_lookup_with_heavy_keys(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "HEAVY_ROWS", 3)
+    monkeypatch.setattr(lookup, "HEAVY_SHARE", 10)
     left = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(40)] + [(99, None)], "id long, k string")
     entries = left.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.upper("k"))
     got = sorted((r.id, r.v) for r in lookup.lookup(left, entries, ["k"], "n", 41).collect())
@@ -220,33 +221,31 @@ def readings_of(spark):
     return df, want
 
 
-@pytest.mark.parametrize(("large", "named"), [(10**9, 1000), (1, 1000), (1, 0), (300, 0)])
-def test_implausible_readings_both_ways(spark, large, named, monkeypatch):
-    monkeypatch.setattr(outliers, "MOST_NAMED", named)
-    monkeypatch.setattr(outliers, "BUCKET_US", 600 * 1_000_000)
+@pytest.mark.parametrize("bucket_s", [60, 600, 6 * 3600, 10**7])
+def test_implausible_readings_whatever_the_buckets(spark, bucket_s, monkeypatch):
+    monkeypatch.setattr(outliers, "BUCKET_US", bucket_s * 1_000_000)
     df, want = readings_of(spark)
-    assert {r.id: r.reason for r in outliers.implausible(df, large).collect()} == want
-    assert outliers.implausible(df.limit(0), large).count() == 0
-
-
-def test_run_lengths_over_bucket_borders(spark):
-    rng = random.Random(2)
-    rows = [(s, t, rng.choice("aab"), rng.randrange(3)) for s in "xy" for t in range(90)]
-    df = spark.createDataFrame(rows, "s string, at long, v string, w int")
-    got = {(r.s, r.at): (r.run_v, r.run_w) for r in outliers.run_lengths(df, ["s"], "at", ["at"], ["v", "w"], bucket_us=2).collect()}
-    for s in "xy":
-        series = [r for r in rows if r[0] == s]
-        for col, pick in ((2, 0), (3, 1)):
-            start = 0
-            for i in range(1, len(series) + 1):
-                if i == len(series) or series[i][col] != series[start][col]:
-                    assert all(got[(s, t)][pick] == i - start for t in range(start, i))
-                    start = i
-
-
-@pytest.mark.parametrize("piece", [10, 4032])
-def test_even_grid(spark, piece, monkeypatch):
-    monkeypatch.setattr(regrid, "PIECE_SLOTS", piece)
+    assert {r.id: r.reason for r in outliers.implausible(df).collect()} == want
+    assert outliers.implausible(df.limit(0)).count() == 0
+
+
+def test_slow_excursions_are_no_spikes(spark):
+    """The same height reached by jumps and by plausible steps: only the jump is a spike."""
+    rng = np.random.RandomState(3)
+    v = 50 + np.cumsum(rng.choice([-1.0, 1.0], 600))
+    v = 50 + (v - v.mean()) / np.abs(v - v.mean()).max() * 4
+    jump, slow = v.copy(), v.copy()
+    jump[300:303] = 90
+    slow[297:306] += np.array([4, 8, 12, 16, 20, 16, 12, 8, 4.0])
+    rows = [(s, k + off, f"m{k}", k * 60_000_000, k * 60_000_000, float(x), True) for s, off, y in (("jump", 0, jump), ("slow", 1000, slow)) for k, x in enumerate(y)]
+    df = spark.createDataFrame(rows, "source string, id long, message string, at long, received long, value double, possible boolean").withColumn("least", F.lit(0.1))
+    got = {r.id for r in outliers.implausible(df).collect() if r.reason == "spike"}
+    assert {300, 301, 302} <= got and not any(i < 300 or 302 < i < 1000 for i in got)
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_even_grid(spark, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
     rng = random.Random(7)
     have = {1: sorted(rng.sample(range(100), 40)), 2: [5], 3: [0, 1, 2, 400, 403]}
     rows = [(h, (s * 300 + rng.randrange(300)) * 1_000_000, float(10 + s % 12)) for h, ss in have.items() for s in ss for _ in range(2)]
@@ -258,6 +257,7 @@ def test_even_grid(spark, piece, monkeypatch):
     assert sorted((r.source, r.slot // 300) for r in got if not r.filled) == sorted((h, s) for h, ss in have.items() for s in ss)
     assert all(np.isfinite(r.value) for r in got)
     assert regrid.regular_series(df.limit(0), "h", "t", "v").count() == 0
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_imputation_follows_the_period():

@@ -207,18 +207,11 @@ def hierarchy(df: DataFrame, group: str, node: str, parent: str, limit: int = LA
     links = df.select(
         F.col(group).alias("grp"), F.lower(F.trim(F.col(node))).alias("node"), stated_parent(F.col(parent)).alias("parent")
     ).where("grp is not null and node is not null")
-    large = links.groupBy("grp").count().where(F.col("count") > limit).select("grp")
-    # At most rows / limit groups are large; their names are collected only if that is a handful.
-    few = [r.grp for r in large.limit(1001).collect()]
-    if len(few) > 1000:
-        large = materialise(large, "large-groups")
-        small, big = links.join(large, "grp", "left_anti"), links.join(large, "grp", "left_semi")
-    elif few:
-        small, big = links.where(~F.col("grp").isin(few)), links.where(F.col("grp").isin(few))
-    else:
-        small, big = links, None
+    large = materialise(links.groupBy("grp").count().where(F.col("count") > limit).select("grp"), "large-groups")  # at most rows / limit names
+    some = bool(large.limit(1).count())
+    small = links.join(large, "grp", "left_anti") if some else links
     done = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_small_groups, NODE_SCHEMA)
-    return done if big is None else done.unionByName(_large_groups(big))
+    return done.unionByName(_large_groups(links.join(large, "grp", "left_semi"))) if some else done
 
 
 #: Preorder numbers per bucket of the range join.
@@ -240,28 +233,39 @@ def descendants(tree: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return near.select("grp", "node", "descendant", (F.col("depth") - F.col("above")).alias("distance"))
 
 
-def paths(tree: DataFrame) -> DataFrame:
-    """Adds ``path``: the ids from the root to the node as an array (empty on circles). Per tree, a scan in preorder keeps
-    the open ancestors; a tree is worked off as a stream of sorted rows, holding one path at a time."""
+#: Preorder numbers per task of ``paths``.
+PATH_BUCKET = 50_000
+
+
+def paths(tree: DataFrame, bucket: int = PATH_BUCKET) -> DataFrame:
+    """Adds ``path``: the ids from the root to the node as an array (empty on circles). A scan in preorder keeps the open ancestors, one path at a time. Groups are parted by ``bucket`` preorder
+    numbers, so a tree with a third of all rows is spread; a part gets the ancestors of its first node beside its own (nodes whose range
+    reaches into it), which are fewer than the ids in that node's path."""
+    low, high = (F.floor(F.col(c) / bucket).cast("long") for c in ("first", "last"))
+    own = tree.select("*", low.alias("part"), F.lit(True).alias("own"))
+    over = tree.where(high > low).select("*", F.explode(F.sequence(low + 1, high)).alias("part"), F.lit(False).alias("own"))
     return (
-        tree.repartition("grp", "root")
-        .sortWithinPartitions("grp", "root", "first")
+        own.unionByName(over)
+        .repartition("grp", "part")
+        .sortWithinPartitions("grp", "part", "first")
         .mapInArrow(_walk_paths, NODE_SCHEMA + ", path array<string>")
     )
 
 
 def _walk_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tree: tuple = ()
+    part: tuple = ()
     stack: list[str] = []
     for batch in batches:
         rows = []
-        for g, r, node, depth in zip(*(batch.column(i).to_pylist() for i in (0, 3, 1, 4)), strict=True):
-            if r is None:
+        for g, p, node, depth, own in zip(*(batch.column(i).to_pylist() for i in (0, 7, 1, 4, 8)), strict=True):
+            if depth < 0:
                 rows.append([])
                 continue
-            if (g, r) != tree:
-                tree, stack = (g, r), []
+            if (g, p) != part:
+                part, stack = (g, p), []
             del stack[depth:]
             stack.append(node)
-            rows.append(list(stack))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.string()))], names=[*batch.schema.names, "path"])
+            if own:
+                rows.append(list(stack))
+        kept = batch.filter(batch.column(8))
+        yield pa.RecordBatch.from_arrays([*kept.columns[:7], pa.array(rows, pa.list_(pa.string()))], names=[*batch.schema.names[:7], "path"])

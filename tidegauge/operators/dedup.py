@@ -50,6 +50,10 @@ def arrived_id(number: Column) -> Column:
     return (F.pmod(number, room) - F.lit(_ID_SHIFT)).cast("long")
 
 
+def arrived_us(number: Column) -> Column:
+    return F.floor(number / F.lit(_ID_ROOM)).cast("long")
+
+
 def identified(df: DataFrame, key: Column, received: str, row_id: str) -> DataFrame:
     """``hi, lo, arrival, second``: identifier and arrival of each delivery that has a key. ``row_id`` must be a whole number."""
     hi, lo = _halves(key)

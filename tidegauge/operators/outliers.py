@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegauge.operators.dedup import arrival, arrived_id
+from tidegauge.operators.dedup import arrival, arrived_id, arrived_us
 from tidegauge.session import materialise
 
 #: Fences lie this many interquartile ranges outside the quartiles.
@@ -65,10 +65,14 @@ def normal_ranges(readings: DataFrame) -> DataFrame:
     low, high = _fences(*q, F.col("least"))
     width = (high - q[2]) / FENCE
     return merged.select(
-        "source", "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"), width.alias("width"),
+        "source", "least", "n_source", q[0].alias("q1"), q[1].alias("q2"), q[2].alias("q3"), low.alias("low"), high.alias("high"), width.alias("width"),
         F.map_from_entries("hours").alias("hours"))
 
 
+def _hour(at: Column) -> Column:
+    return F.pmod(F.floor(at / 3_600_000_000), F.lit(24)).cast("int")
+
+
 def _per_minute(value: Column, at: Column, other: Column) -> Column:
     """Change from or to another reading (a struct of value and at), per minute."""
     return F.abs(value - other["value"]) * 60e6 / F.greatest(F.abs(at - other["at"]), F.lit(LEAST_STEP_US))
@@ -167,13 +171,16 @@ def implausible(readings: DataFrame) -> DataFrame:
     changes per minute); such excursions must be at most FEW of the source's readings. Sources without a name aren't judged. An empty table gives an empty result.
 
     Readings are written once and then worked off in time buckets per source, whatever the source's share of the rows; across buckets travel one or two rows of each."""
-    hour = F.pmod(F.floor(F.col("at") / 3_600_000_000), F.lit(24)).cast("int")
     columns = ["source", "id", "message", "at", "received", "value", "possible", "least"]
-    rows = materialise(readings.where("source is not null and message is not null and value is not null").select(*columns, hour.alias("hour")), "readings")
+    rows = materialise(readings.where("source is not null and message is not null and value is not null").select(*columns, _hour(F.col("at")).alias("hour")), "readings")
     ranges = materialise(normal_ranges(rows), "ranges")
-    number = rows.withColumn("arrival", arrival(F.col("received"), F.col("id")))
-    of_first = [F.min_by(c, "arrival").alias(c) for c in ("at", "received", "value", "possible", "hour", "least")]
-    once = number.groupBy("source", "message").agg(arrived_id(F.min("arrival")).alias("id"), *of_first)
+    # Of a delivery travel its arrival, its value, and its time with whether it is possible in one number; what follows from these is computed behind the shuffle.
+    packed = F.col("at") * 2 + F.col("possible").cast("int")
+    number = rows.select("source", "message", "value", packed.alias("packed"), arrival(F.col("received"), F.col("id")).alias("arrival"))
+    once = number.groupBy("source", "message").agg(F.min("arrival").alias("arrival"), *[F.min_by(c, "arrival").alias(c) for c in ("value", "packed")])
+    at = F.shiftright("packed", 1)
+    once = once.select("source", "message", "value", arrived_id(F.col("arrival")).alias("id"), arrived_us(F.col("arrival")).alias("received"),
+        at.alias("at"), (F.col("packed") % 2 != 0).alias("possible"), _hour(at).alias("hour"))
     steps = materialise(_steps(once, ranges), "steps")
     found = _reasons(steps, ranges).select("source", "message", "reason")
     return rows.select("source", "id", "message").join(found, ["source", "message"]).select("source", "id", "reason")

@@ -3,8 +3,8 @@
 Both sides are reduced to words and these to one stream of letters and digits. A run of item words that a document holds unchanged
 shares all its q-grams on one diagonal (document position minus item position); a copy with at most k edited places shares, by the
 q-gram lemma, at least (length + 1) - q - k * q of them, spread over as many diagonals as there are insertions. Documents below the least of
-these bounds are out; the (document, item) pairs left are counted per band of diagonals, and those that meet their item's bound are aligned. Copies with more
-edits than the budget allows for are found by a bound on rare words that holds for any edits, and aligned in the same way: no pair of the definition is missed."""
+these bounds are out; the (document, item) pairs left are counted per band of diagonals, and those that meet their item's bound are aligned within the bands' reach. Copies with more
+edits than the budget allows for are found by a bound on rare words that holds for any edits, and aligned over the whole document: no pair of the definition is missed."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ RARE_ITEMS, LEAST_RARE = (3, 6, 12, 25, 50, 100), 3
 #: Diagonals per band; bands overlap by half. Bands with fewer shared q-grams are chance.
 BAND, BAND_HITS = 32, 4
 #: The items travel to every executor; more text than this is refused (work it off in several runs).
-MOST_ITEM_CHARS = 64_000_000
+MOST_ITEM_CHARS = 8_000_000
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8)] = np.arange(1, 37)
 FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64())])
@@ -144,7 +144,7 @@ class ItemIndex:
         return sorted(self._scattered(docs, found))
 
     def _scattered(self, docs: list[list[str]], found: set[tuple[int, int]]) -> set[tuple[int, int]]:
-        """Adds copies with more edited places than the budget: pairs that share enough words anywhere are aligned too."""
+        """Adds copies with more edited places than the budget, or with more text in between than a band holds: pairs that share enough words anywhere are aligned over the whole document."""
         holders, least = self.holders, self.least_words
         for d, ws in enumerate(docs):
             shared: dict[int, int] = {}
@@ -189,18 +189,29 @@ class ItemIndex:
             which = np.cumsum(opens) - 1
             wide |= (np.bincount(which) >= BAND_HITS)[which]
         pairs, inverse = np.unique(pair[wide], return_inverse=True)
+        near, far = np.full(len(pairs), 1 << 60), np.full(len(pairs), -(1 << 60))
+        np.minimum.at(near, inverse, diagonal[wide])
+        np.maximum.at(far, inverse, diagonal[wide])
         seen = np.unique(inverse * (1 << 32) + ipos[wide]) >> 32  # each item place counts once
         shared = np.bincount(seen, minlength=len(pairs))
-        for code, n in zip(pairs, shared, strict=True):
-            key = (int(code) // len(self.ids), int(code) % len(self.ids))
-            if key not in found and n >= self.least_share[key[1]] and aligned(self.word_lists[key[1]], docs[key[0]]):
+        for code, n, low, high in zip(pairs, shared, near, far, strict=True):
+            d, k = key = (int(code) // len(self.ids), int(code) % len(self.ids))
+            if key not in found and n >= self.least_share[k] and aligned(self.word_lists[k], within_band(docs[d], int(low), int(high), int(self.word_start[k][-1]))):
                 found.add(key)
         return found
 
 
+def within_band(doc: list[str], low: int, high: int, length: int) -> list[str]:
+    """The words of ``doc`` that an alignment with an item of ``length`` letters can reach on the diagonals from ``low`` to ``high``, widened by the item's length on both
+    sides (room for as much inserted or dropped as the item is long)."""
+    begins = np.cumsum([0, *map(len, doc)])
+    first = int(np.searchsorted(begins, low - length, "right")) - 1
+    return doc[max(first, 0) : int(np.searchsorted(begins, high + 2 * length, "left"))]
+
+
 def aligned(item: list[str], doc: list[str]) -> bool:
-    """Whether ``doc`` holds SHARE of the item's words in order: longest common subsequence of the two word sequences, one bit
-    per item word, over the whole document (no band)."""
+    """Whether ``doc`` (the words within a band, or all of them) holds SHARE of the item's words in order: longest common subsequence of the two word sequences, one bit
+    per item word."""
     need = int(np.ceil(SHARE * len(item)))
     masks: dict[str, int] = {}
     for i, w in enumerate(item):

@@ -13,7 +13,8 @@ LOOKALIKES = str.maketrans(
 )
 _ESCAPED = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtfbv0\"'/\\])")
 _PERCENT = re.compile(r"%([2-7][0-9A-Fa-f])")
-_TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,200}>|<!--.*?-->", re.S)
+#: A tag: with well-formed attributes over any number of lines, or whatever stands in angle brackets on one line; a comment.
+TAG = re.compile(r"""</?[a-zA-Z][\w:.\-]*+(?>\s++[\w:@.\-]++(?>\s*+=\s*+(?>"[^"]*+"|'[^']*+'|[^\s"'<>]++))?+)*+\s*+/?>|<!--.*?-->|</?[a-zA-Z!][^<>\n]*>""", re.S)
 # What log shippers and quoting put in front of a line: times, levels, components, comment and quote marks.
 _MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _PREFIX = re.compile(
@@ -48,7 +49,7 @@ def words(text: str) -> list[str]:
     if "%20" in t:
         t = _PERCENT.sub(lambda m: chr(int(m[1], 16)), t)
     if "<" in t:
-        t = _TAG.sub(lambda m: " " if m[0][1:3].lower() in ("br", "p>", "/p", "li", "/l", "td", "tr", "di", "/d") else "", t)
+        t = TAG.sub(lambda m: " " if m[0][1:3].lower() in ("br", "p>", "/p", "li", "/l", "td", "tr", "di", "/d") else "", t)
     plain = t.isascii()
     if not plain:
         t = unicodedata.normalize("NFKD", t.translate(_LINE_ENDS)).casefold().translate(LOOKALIKES)

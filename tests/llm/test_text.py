@@ -8,7 +8,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tidegauge.llm import leaks, reading, tokenize
+from tidegauge.llm import leaks, plaintext, reading, tokenize
 from tidegauge.llm.plaintext import words
 
 HAVE = Path(tokenize.VOCABULARY).exists()
@@ -258,3 +258,35 @@ def test_semicolons_entities_and_tags_leave_prose():
     assert reading.prose_figures("\n".join(marked)) == whole
     for code in ("for (int i = 0; i < n; i++) { if (this.is(i)) { do(i); } }", "x = the_value; y = other(x);", "return this.of(a); }", "from queue import (the, node)"):
         assert reading.prose_figures("\n".join([*lines, code])) == whole
+
+
+def test_tags_of_any_length_are_markup():
+    long = 'two <a\n href="' + "x" * 5000 + '" title=\'b\n c\'>three</a> four <br> five <!-- six\nseven --> eight'
+    assert plaintext.words(long) == ["two", "three", "four", "five", "eight"]
+    assert plaintext.words("load <5 and more\n> quoted a < b\nand c > d") == ["load", "5", "and", "more", "quoted", "a", "b", "and", "c", "d"]
+
+
+def test_alignment_within_its_band():
+    doc = [f"w{i}" for i in range(1000)]
+    begins = np.cumsum([0, *map(len, doc)])
+    low = int(begins[500])
+    part = leaks.within_band(doc, low, low + 10, 40)
+    assert set(doc[500:512]) <= set(part) and len(part) < 60
+    assert leaks.within_band(doc, -50, -20, 40)[0] == "w0"
+
+
+def test_harmonic_values_are_the_means_of_their_neighbours():
+    """Two graded and two ungraded documents on a line of three nodes: the ungraded ones are the means of their nodes, the nodes of their documents."""
+    zero = {f"u_{i}_{j}": 0.0 for i, j in reading._PAIRS} | {f"{k}_{i}": 0.0 for k in "ugs" for i in range(4)}
+    cells = [zero | {"a": 0, "b": 0, "g_0": 1.0, "s_0": 1.0, "u_0": 1.0, "u_1": 1.0, "u_0_0": 0.5, "u_0_1": 0.5, "u_1_1": 0.5}, zero | {"a": 1, "b": 0, "g_1": 1.0, "s_1": 5.0}]
+    f = reading.harmonic(cells, (3, 2)).reshape(3, 2)[:, 0]
+    u = reading.UNGRADED
+    free = (f[0] + f[1]) / 2
+    assert abs(f[0] - (1.0 + u * free) / (1 + u)) < 1e-3 and abs(f[1] - free) < 1e-3 and abs(f[2] - 5) < 1e-3
+
+
+def test_copies_of_a_graded_document_have_its_grade(spark):
+    d = spark.createDataFrame([(1, PROSE * 3), (2, PROSE * 3), (3, HARD * 12), (4, HARD * 12)], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 2), (2, 3), (3, 5)], "doc_id long, grade int")
+    got = {r.doc_id: r.level for r in reading.reading_levels(d, lab).collect()}
+    assert got == {1: 2.5, 2: 2.5, 3: 5.0, 4: 5.0}

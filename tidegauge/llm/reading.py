@@ -1,30 +1,29 @@
 """Reading level of documents: graded examples spread over a similarity graph.
 
-The running English prose of a document is reduced to the two figures that readability rests on: words per sentence and letters per word. Documents are linked to the
-four nearest nodes of a grid over these figures (on a log scale for sentences), with bilinear weights: two documents are the nearer the more nodes they
-share. Graded documents are clamped to their grade, and difficulty is propagated by harmonic iterations: a node becomes the weighted mean of its documents, a
-document the weighted mean of its nodes. The grid has a fixed number of nodes, so a round is one pass over the documents and one small aggregate."""
+The running English prose of a document is reduced to the two figures that readability rests on: words per sentence and letters per word. The nodes of the graph are made from the corpus: pairs of quantiles of
+these figures over all documents. A document is linked to the four nodes around it, with bilinear weights, so two documents are the nearer the more nodes they
+share. Graded documents are clamped to their grade, and difficulty is propagated until it is harmonic: a node is the weighted mean of its documents, an ungraded
+document that of its nodes. Documents being linear in their nodes, one pass over the corpus sums the weights between nodes, and the iterations run on those."""
 
 from __future__ import annotations
 
 import html
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.plaintext import TAG
 from tidegauge.session import materialise
 
-#: Nodes per doubling of the sentence length and per letter of the word length; nodes per axis.
-STEP, SIDE = 4.0, 64
-#: Weight of a document's links, of the prior (the mean grade) at a node, and of a graded document against an ungraded one.
-LINK, PRIOR, GRADED = 20.0, 1.0, 12.0
-ROUNDS = 8
+#: Quantiles of each figure that nodes are made from, and their rank error.
+QUANTILES, RANK_ERROR = 24, 1e-3
+#: Weight of an ungraded document against a graded one; of a pull of each node towards the mean grade, as a share of the mean node's weight (it decides where no grade reaches); the largest change at which the iterations end.
+UNGRADED, PULL, TOLERANCE = 0.3, 1e-5, 1e-9
 #: Words of running prose that a document must have to be judged; grades from this mean on are demanding.
 LEAST_WORDS, DEMANDING = 40, 3.5
 
@@ -35,7 +34,6 @@ COMMON = frozenset(
 LEAST_COMMON = 0.15
 
 _FENCED = re.compile(r"^[ \t]*(?:```|~~~).*?(?:^[ \t]*(?:```|~~~)[ \t]*$|\Z)", re.M | re.S)
-_TAG = re.compile(r"</?[a-zA-Z!][^<>\n]{0,200}>")
 # Lines that are no running prose: tables, headings, addresses, records, log lines, stack traces, settings.
 _OTHER = re.compile(
     r"""^[ \t]*(?:
@@ -74,7 +72,7 @@ def prose_figures(text: str) -> tuple[int, float, float]:
     if "```" in t or "~~~" in t:
         t = _FENCED.sub("\n", t)
     if "<" in t:
-        t = _TAG.sub(" ", t)
+        t = TAG.sub(" ", t)
     if "&" in t:
         t = html.unescape(t)
     t = _CODE.sub(_without_code, _OTHER.sub("", t))
@@ -98,61 +96,96 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [prose_figures(t) if t else (0, 0.0, 0.0) for t in batch.column(1).to_pylist()]
         n, s, w = (np.array(c) for c in zip(*rows, strict=True)) if rows else (np.zeros(0),) * 3
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(float)), pa.array(w.astype(float))], names=["doc_id", "n_words", "sentence", "word"])
-
-
-def _links(sentence: Column, word: Column) -> tuple[list[Column], list[Column]]:
-    """The four nodes of a document and the weights of its links."""
-    x = F.least(F.greatest(F.log2(F.greatest(sentence, F.lit(1.0))) * STEP, F.lit(0.0)), F.lit(SIDE - 1.001))
-    z = F.least(F.greatest(word * STEP, F.lit(0.0)), F.lit(SIDE - 1.001))
-    a, b = F.floor(x).cast("int"), F.floor(z).cast("int")
-    u, v = x - a, z - b
-    nodes = [a * SIDE + b, (a + 1) * SIDE + b, a * SIDE + b + 1, (a + 1) * SIDE + b + 1]
-    return nodes, [(1 - u) * (1 - v), u * (1 - v), (1 - u) * v, u * v]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(s.astype(float)), pa.array(w.astype(float)), batch.column(2)], names=["doc_id", "n_words", "sentence", "word", "same"])
+
+
+def _corners(sentence: np.ndarray, word: np.ndarray, axes: list[list[float]]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The cell of each document between the quantiles (beyond the first or last: at the border), and the weights of its links to the four nodes at the corners."""
+    places = [np.minimum(np.interp(x, q, np.arange(len(q))), len(q) - 1.001) for x, q in zip((sentence, word), axes, strict=True)]
+    a, b = (np.floor(p).astype(np.int64) for p in places)
+    u, v = places[0] - a, places[1] - b
+    return a, b, [(1 - u) * (1 - v), u * (1 - v), (1 - u) * v, u * v]
+
+
+_OFFSETS = ((0, 0), (1, 0), (0, 1), (1, 1))
+_PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
+
+
+def harmonic(cells: list, shape: tuple[int, int]) -> np.ndarray:
+    """Value of each node, from the sums of each cell (``a, b``; ``u_i_j``: weights between its corners by ungraded documents, ``u_i``, ``g_i``: of its corners by ungraded and graded ones, ``s_i``: grades).
+    The conjugate-gradient form of the harmonic iterations, until no node changes by more than TOLERANCE."""
+    size = shape[0] * shape[1]
+    links, own, pulled = np.zeros((size, size)), np.zeros(size), np.zeros(size)
+    graded = grades = 0.0
+    for c in cells:
+        at = [(c["a"] + x) * shape[1] + c["b"] + y for x, y in _OFFSETS]
+        for i, j in _PAIRS:
+            links[at[i], at[j]] += UNGRADED * c[f"u_{i}_{j}"]
+            if i != j:
+                links[at[j], at[i]] += UNGRADED * c[f"u_{i}_{j}"]
+        for i in range(4):
+            own[at[i]] += UNGRADED * c[f"u_{i}"] + c[f"g_{i}"]
+            pulled[at[i]] += c[f"s_{i}"]
+            graded += c[f"g_{i}"]
+            grades += c[f"s_{i}"]
+    pull = PULL * max(own.mean(), 1.0)
+    matrix, wanted = np.diag(own + pull) - links, pulled + pull * grades / graded
+    scale = np.sqrt(own + pull)  # documents' own weights, so that no node outweighs another
+    matrix, wanted = matrix / scale[:, None] / scale[None, :], wanted / scale
+    x = np.full(size, grades / graded) * scale
+    left = wanted - matrix @ x
+    step, power = left.copy(), left @ left
+    while power > 0:
+        along = matrix @ step
+        by = power / (step @ along)
+        x += by * step
+        left -= by * along
+        if np.abs(by * step / scale).max() < TOLERANCE:
+            break
+        now = left @ left
+        step, power = left + now / power * step, now
+    return x / scale
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade") -> DataFrame:
-    """``doc_id, n_words, level``: words of running English prose, and the difficulty on the scale of the grades (null under LEAST_WORDS words).
+    """``doc_id, n_words, level``: words of running English prose, and the difficulty on the scale of the grades (null under LEAST_WORDS words): the grade of a graded document, else the mean of its nodes.
 
-    Several grades of a document are averaged; null grades, and grades of documents without enough prose, aren't used. Without any grade all levels are null. Null,
+    Several grades of a text, by several raters or of several copies of it, are averaged, and hold for all its copies; null grades, and grades of documents without enough prose, aren't used. Without any grade all levels are null. Null,
     empty and foreign texts have 0 words. Each row of ``documents`` gives a row, repeated ones the same level; other columns are ignored.
-    Of the graph, what leaves the executors is a sum per node, of which there are SIDE * SIDE, whatever the corpus."""
-    figures = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text)).mapInArrow(_figures, "doc_id long, n_words long, sentence double, word double")
-    grades = labels.where(F.col(grade).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.avg(grade).alias("grade"))
-    rows = materialise(figures, "prose")
+    Of the graph, what leaves the executors is a row of sums per cell, of which there are fewer than QUANTILES * QUANTILES, whatever the corpus."""
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text), F.xxhash64(text).alias("same"))
+    rows = materialise(texts.mapInArrow(_figures, "doc_id long, n_words long, sentence double, word double, same long"), "prose")
+    alike = ["same", "n_words", "sentence", "word"]  # what copies of a text share
+    given = labels.where(F.col(grade).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(grade).cast("double").alias("grade"))
+    grades = materialise(rows.where(F.col("n_words") >= LEAST_WORDS).join(given, "doc_id").groupBy(*alike).agg(F.avg("grade").alias("grade")), "grades")
     judged = rows.where(F.col("n_words") >= LEAST_WORDS)
-    nodes, weights = _links(F.col("sentence"), F.col("word"))
-    linked = judged.join(grades, "doc_id", "left").select("grade", F.array(*nodes).alias("nodes"), F.array(*weights).alias("weights"))
-    linked = materialise(linked, "links")
-    graded = linked.where("grade is not null")
-
-    def score(values: np.ndarray, nodes: list[Column], weights: list[Column]) -> Column:
-        at = F.from_json(F.lit(json.dumps(values.tolist())), "array<double>")  # one literal once the plan is optimised
-        return sum((F.get(at, n) * w for n, w in zip(nodes[1:], weights[1:], strict=True)), F.get(at, nodes[0]) * weights[0])
-
-    four = [F.col("nodes")[i] for i in range(4)], [F.col("weights")[i] for i in range(4)]
-
-    def node_means(docs: DataFrame, value: Column, mean: float) -> np.ndarray:
-        worth = F.when(F.col("grade").isNotNull(), GRADED).otherwise(1.0)
-        links = docs.select(value.alias("value"), worth.alias("worth"), F.inline(F.arrays_zip("nodes", "weights")))
-        w = F.col("weights") * F.col("worth") * LINK
-        sums = links.groupBy("nodes").agg(F.sum(w * F.col("value")).alias("s"), F.sum(w).alias("w")).collect()  # at most SIDE * SIDE rows
-        out = np.full(SIDE * SIDE, mean)
-        for r in sums:
-            out[r.nodes] = (r.s + PRIOR * mean) / (r.w + PRIOR)
-        return out
-
-    mean = graded.agg(F.avg("grade")).first()[0]
-    if mean is None:
+    quantiles = judged.approxQuantile(["sentence", "word"], [i / (QUANTILES - 1) for i in range(QUANTILES)], RANK_ERROR)
+    axes = [sorted(set(q)) for q in quantiles]
+    axes = [q if len(q) > 1 else [*q, *(x + 1.0 for x in q)] for q in axes]  # all documents alike: one cell
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, weights = _corners(batch.column(1).to_numpy(), batch.column(2).to_numpy(), axes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, (a, b, *weights))], names=["grade", "a", "b", "w0", "w1", "w2", "w3"])
+
+    linked = judged.join(grades, alike, "left").select("grade", "sentence", "word").mapInArrow(link, "grade double, a long, b long, w0 double, w1 double, w2 double, w3 double")
+    graded = F.col("grade").isNotNull()
+    w = [F.col(f"w{i}") for i in range(4)]
+    sums = [F.sum(F.when(~graded, w[i] * w[j]).otherwise(0.0)).alias(f"u_{i}_{j}") for i, j in _PAIRS]
+    for i in range(4):
+        sums += [F.sum(F.when(~graded, w[i]).otherwise(0.0)).alias(f"u_{i}"), F.sum(F.when(graded, w[i]).otherwise(0.0)).alias(f"g_{i}"), F.sum(F.coalesce(w[i] * F.col("grade"), F.lit(0.0))).alias(f"s_{i}")]
+    cells = linked.groupBy("a", "b").agg(*sums).collect()
+    if not any(c[f"g_{i}"] for c in cells for i in range(4)):
         return rows.select("doc_id", "n_words", F.lit(None).cast("double").alias("level"))
-    values = node_means(graded, F.col("grade"), mean)
-    for _ in range(ROUNDS):
-        values = node_means(linked, F.coalesce("grade", score(values, *four)), mean)
-    # The propagated values are drawn towards the mean; a quadratic through the graded documents puts them back on the grades' scale.
-    f = score(values, *four)
-    powers = graded.select(f.alias("f"), "grade").agg(*[F.sum(F.pow("f", F.lit(float(k)))).alias(f"f{k}") for k in range(5)], *[F.sum(F.pow("f", F.lit(float(k))) * F.col("grade")).alias(f"g{k}") for k in range(3)]).first()
-    normal = np.array([[powers[f"f{i + j}"] for j in range(3)] for i in range(3)])
-    c = np.linalg.lstsq(normal, np.array([powers[f"g{i}"] for i in range(3)]), rcond=None)[0]
-    free = score(values, nodes, weights)
-    level = F.when(F.col("n_words") >= LEAST_WORDS, F.lit(float(c[0])) + F.col("free") * float(c[1]) + F.col("free") * F.col("free") * float(c[2]))
-    return rows.withColumn("free", free).select("doc_id", "n_words", level.alias("level"))
+    shape = (len(axes[0]), len(axes[1]))
+    values = harmonic(cells, shape)
+
+    def free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, weights = _corners(batch.column(3).to_numpy(), batch.column(4).to_numpy(), axes)
+            level = sum(values[(a + x) * shape[1] + b + y] * w for (x, y), w in zip(_OFFSETS, weights, strict=True))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(level)], names=["doc_id", "n_words", "grade", "free"])
+
+    level = F.when(F.col("n_words") >= LEAST_WORDS, F.coalesce("grade", "free"))
+    told = rows.join(grades, alike, "left").select("doc_id", "n_words", "grade", "sentence", "word")
+    return told.mapInArrow(free, "doc_id long, n_words long, grade double, free double").select("doc_id", "n_words", level.alias("level"))

@@ -126,3 +126,54 @@ def test_structured_and_back(spark):
     assert [r.value for r in structured.tag_values(catalog, "sys.cpu", "host", 0, 10**9).collect()] == ["x", "y"]
     with pytest.raises(KeyError):
         catalog["none"]
+
+
+INJECTED = [
+    ("SELECT * FROM customer, orders", 1), ("SELECT * FROM orders, customer AS o", 1), ("SELECT * FROM db.orders", 1), ("SELECT * FROM `db`.`orders` o", 1), ("SELECT * FROM (orders)", 1),
+    ("SELECT * FROM (customer JOIN orders ON a = b) WHERE x IN (SELECT y FROM orders)", 2), ("SELECT 'from orders ' AS orders, 1 -- from orders", 0), ("SELECT orders.x FROM customer orders", 0),
+    ("WITH orders AS (SELECT * FROM orders WHERE a = 1) SELECT * FROM orders", 1), ("WITH a AS (SELECT 1), b AS (SELECT * FROM orders) SELECT * FROM a, b, orders", 2),
+    ("SELECT extract(YEAR FROM orders) FROM t", 0), ("SELECT a IS DISTINCT FROM orders FROM t", 0), ("SELECT f(a, orders) FROM t GROUP BY x, orders", 0), ("TABLE orders", 1), ("FROM orders SELECT x", 1),
+    ("SELECT * FROM t LATERAL VIEW explode(orders) x AS orders", 0), ("SELECT * FROM orders UNION ALL SELECT * FROM /* c */ orders ORDER BY x, orders", 2), ("SELECT * FROM orders(3)", 0),
+    ("SELECT * FROM t WHERE EXISTS (SELECT 1 FROM (SELECT * FROM x, ORDERS) y)", 1), ("SELECT * FROM a JOIN b ON a.x = b.x, orders", 1),
+]
+
+
+@pytest.mark.parametrize(("text", "times"), INJECTED)
+def test_every_use_of_a_table_is_filtered(text, times):
+    assert sqldialect.inject(text, "orders", "tenant = 1").count("WHERE tenant = 1)") == times
+
+
+def test_other_tenants_rows_stay_out(spark):
+    orders = spark.createDataFrame([(1, 1), (2, 2), (3, 1)], "id int, tenant int")
+    other = spark.createDataFrame([(1,), (2,)], "k int")
+    seen = lambda text: sorted(r[0] for r in sqldialect.run(spark, text, {"orders": orders, "other": other}, filters={"orders": "tenant = 1"}).collect())
+    assert seen("SELECT id FROM other, orders WHERE k = 1") == [1, 3]
+    assert seen("SELECT id FROM (orders)") == [1, 3]
+    assert seen("WITH orders AS (SELECT id, id AS x FROM orders) SELECT x FROM orders") == [1, 3]
+    assert seen("SELECT orders.id FROM orders JOIN other ON orders.id = k") == [1]
+    assert seen("SELECT count(*) FROM orders WHERE 'from orders ' = 'from orders '") == [2]
+    assert sqldialect.run(spark, "SELECT id FROM orders LIMIT 1000000 -- x", {"orders": orders}, most=2).count() == 2
+
+
+
+def test_literals_are_left_alone():
+    assert sqldialect.spark_sql("SELECT 'a XOR b' AS t") == "SELECT 'a XOR b' AS t"
+    assert sqldialect.spark_sql("SELECT 'limit 1, 2' LIMIT 3, 4") == "SELECT 'limit 1, 2' LIMIT 4 OFFSET 3"
+    assert sqldialect.clamp_limit("SELECT 1 LIMIT 1000000 -- x", 5) == "SELECT 1 LIMIT 5"
+
+
+def test_nothing_is_cut_unless_asked(spark):
+    from tidegauge.operators import rawrows
+
+    df = spark.range(12_000).select(F.col("id").alias("v"), F.concat(F.lit("t"), F.col("id")).alias("tag"))
+    assert rawrows.compose_limits((None, 0), (None, 0), None) == (None, 0)
+    marked = rawrows.highlight(spark.createDataFrame([("x" * 2_000_000 + "hotbolt hot", 1)], "t string, k int"), ["t"], ["hot", "bolt"]).first()["__highlight"]["t"]
+    assert marked.endswith("<mark>hotbolt</mark> <mark>hot</mark>")
+    both = rawrows.highlight(spark.createDataFrame([("abcdx", 1), ("zz", 2)], "t string, k int"), ["t"], ["abc", "bcd"])
+    assert [r["__highlight"] for r in both.orderBy("k").collect()] == [{"t": "<mark>abcd</mark>x"}, {}]
+    from tidegauge.operators import etl
+
+    found = etl.discovered(df.select(F.create_map(F.lit("m"), F.lit(1.0)).alias("m"), F.create_map(F.lit("tag"), F.col("tag")).alias("d")), "m", "d").first()
+    assert found.n_values == 12_000 == len(found["values"])
+    ranked = rawrows.order_series(df.select("tag", "v", F.lit(1).alias("t")), ["tag"], ["-_value"])
+    assert ranked.where("rank != 12000 - v").count() == 0

@@ -229,11 +229,9 @@ def with_aliases(m: Column, aliases: dict[str, str], defaults: dict[str, str] |
 
 # Enrichment
 
-def fill_by_lookup(df: DataFrame, hosts: DataFrame, on: list[str], values: str, out: str, most_rows: int = 1_000_000) -> DataFrame:
-    """One row per value of the host's list (records of unknown hosts stay, with null). The host table is broadcast only if it is known to be small."""
+def fill_by_lookup(df: DataFrame, hosts: DataFrame, on: list[str], values: str, out: str) -> DataFrame:
+    """One row per value of the host's list (records of unknown hosts stay, with null). Whether the host table is broadcast is left to the optimiser, which goes by its size in bytes."""
     side = hosts.select(*on, F.col(values).alias("_values"))
-    if hosts.select(on[0]).limit(most_rows + 1).count() <= most_rows // 100:
-        side = F.broadcast(side)
     return df.join(side, on, "left").withColumn(out, F.explode_outer("_values")).drop("_values")
 
 
@@ -337,11 +335,11 @@ def series_delta(df: DataFrame, keys: list[str], at: str, value: str, rate_name:
     return out.withColumn("metric", F.lit(rate_name)) if rate_name else out
 
 
-def discovered(df: DataFrame, metrics: str, dimensions: str, most_values: int = 1000) -> DataFrame:
-    """``metric, dimension, n_values, values``: which dimensions metrics come with and their values (the first ``most_values`` in order; ``n_values`` counts all)."""
+def discovered(df: DataFrame, metrics: str, dimensions: str, most_values: int | None = None) -> DataFrame:
+    """``metric, dimension, n_values, values``: which dimensions metrics come with and their distinct values, in order (the first ``most_values``, if given; ``n_values`` counts all)."""
     rows = df.select(F.explode(F.map_keys(metrics)).alias("metric"), dimensions).select("metric", F.explode(dimensions).alias("dimension", "value")).distinct()
-    ranked = rows.withColumn("k", F.row_number().over(W.partitionBy("metric", "dimension").orderBy("value")))
-    return ranked.groupBy("metric", "dimension").agg(F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_list(F.when(F.col("k") <= most_values, F.col("value")))).alias("values"))
+    told = F.array_sort(F.collect_list("value"))
+    return rows.groupBy("metric", "dimension").agg(F.count(F.lit(1)).alias("n_values"), (told if most_values is None else F.slice(told, 1, most_values)).alias("values"))
 
 
 def guard_cardinality(df: DataFrame, keys: list[str], at: str, most: int) -> DataFrame:
@@ -367,7 +365,7 @@ def event_records(df: DataFrame, name: Column, at: Column, content: Column, dime
     return rows.where("event_name is not null and event_name != '' and timestamp is not null")
 
 
-def level_as_json(df: DataFrame, levels: str, out: str = "bk_cmdb_level") -> DataFrame:
+def level_as_json(df: DataFrame, levels: str, out: str) -> DataFrame:
     """A topology map as one JSON column."""
     return df.withColumn(out, F.to_json(levels))
 

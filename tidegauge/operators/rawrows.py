@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidegauge.session import materialise
+
 
 def ordering(df: DataFrame, keys: list[str], aliases: dict[str, str] | None = None) -> list[Column]:
     """'-f' descends; nulls last when ascending, first when descending; '_value' and '_time' stand for ``aliases``. Texts that are numbers sort as numbers."""
@@ -30,8 +32,8 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-def compose_limits(own: tuple[int | None, int], asked: tuple[int | None, int], default: int = 10_000) -> tuple[int, int]:
-    """(limit, offset) of a query that has its own, within a request that has others: offsets add, the smaller limit holds, cut to what the inner one leaves."""
+def compose_limits(own: tuple[int | None, int], asked: tuple[int | None, int], default: int | None = 10_000) -> tuple[int | None, int]:
+    """(limit, offset) of a query that has its own, within a request that has others: offsets add, the smaller limit holds, cut to what the inner one leaves. Where neither has a limit, ``default`` (None: no limit)."""
     (own_limit, own_offset), (limit, offset) = own, asked
     left = None if own_limit is None else max(own_limit - offset, 0)
     some = [x for x in (left, limit) if x is not None]
@@ -73,8 +75,13 @@ def order_series(df: DataFrame, labels: list[str], keys: list[str]) -> DataFrame
     """Adds ``rank``: the place of each series by its last value ('_value') or by labels; '-' descends; ties by all labels."""
     last = df.groupBy(*labels).agg(F.max_by("v", "t").alias("_value"))
     order = [F.col(k.lstrip("-")).desc() if k.startswith("-") else F.col(k).asc() for k in keys] + [F.col(c) for c in labels]
-    ranked = last.withColumn("rank", F.row_number().over(W.orderBy(*order))).drop("_value")
-    return df.join(ranked, labels)
+    # Ranges of the order are numbered apart, and then moved by the sizes of the ranges before (one row each).
+    parts = materialise(last.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranks")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    ranked = parts.withColumn("_k", within).join(ahead, "_part").withColumn("rank", (F.col("_k") + F.col("_ahead")).cast("int"))
+    return df.join(ranked.select(*labels, "rank"), labels)
 
 
 def keyword_regex(keywords: list[str]) -> str:
@@ -83,21 +90,37 @@ def keyword_regex(keywords: list[str]) -> str:
     return "|".join(parts)
 
 
-def highlight(df: DataFrame, columns: list[str], keywords: list[str], longest: int = 1_000_000) -> DataFrame:
-    """Adds ``__highlight``: of each column that holds keywords the text with <mark> around them, overlapping and adjacent finds merged; only the first ``longest``
-    characters are searched, the rest follows unmarked."""
-    singles = [re.compile(keyword_regex([k]), re.I) for k in keywords if k]
+def _apart(keywords: list[str]) -> bool:
+    """Whether finds of different keywords can't overlap: no wildcards, none within another, none beginning as another ends."""
+    words = sorted({k.lower() for k in keywords})
+    if any(c in k for k in words for c in "*?"):
+        return False
+    return not any(a != b and (a in b or any(a.endswith(b[:n]) for n in range(1, len(b)))) for a in words for b in words)
 
-    @F.pandas_udf("string")
-    def marked(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: mark(t, singles, longest), na_action="ignore").astype(object).where(s.notna(), None)
 
+def highlight(df: DataFrame, columns: list[str], keywords: list[str]) -> DataFrame:
+    """Adds ``__highlight``: of each column that holds keywords the whole text with <mark> around them, overlapping and adjacent finds merged. Keywords that can't overlap are marked by one
+    expression in the engine; others by a vectorised function, which is given only the texts that hold one."""
+    keywords = [k for k in dict.fromkeys(keywords) if k]
     any_of = "(?i)" + keyword_regex(keywords)
-    pieces = [F.when(F.substring(F.col(c), 1, longest).rlike(any_of), F.struct(F.lit(c).alias("key"), marked(F.col(c)).alias("value"))) for c in columns]
+    if _apart(keywords):
+        marked = lambda c: F.regexp_replace(c, f"(?i)((?:{keyword_regex(keywords)})+)", "<mark>$1</mark>")
+    else:
+        singles = [re.compile(keyword_regex([k]), re.I) for k in keywords]
+
+        @F.pandas_udf("string")
+        def by_spans(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: mark(t, singles), na_action="ignore").astype(object).where(s.notna(), None)
+
+        marked = lambda c: by_spans(F.when(c.rlike(any_of), c))
+    if not keywords:
+        return df.withColumn("__highlight", F.create_map().cast("map<string,string>"))
+    pieces = [F.when(F.col(c).rlike(any_of), F.struct(F.lit(c).alias("key"), marked(F.col(c)).alias("value"))) for c in columns]
     return df.withColumn("__highlight", F.map_from_entries(F.array_compact(F.array(*pieces))))
 
 
-def mark(text: str, patterns: list[re.Pattern], longest: int) -> str:
+def mark(text: str, patterns: list[re.Pattern], longest: int | None = None) -> str:
+    """``text`` with <mark> around what the patterns find, in its first ``longest`` characters if that is asked for."""
     head = text[:longest]
     spans: list[list[int]] = []
     for a, b in sorted(m.span() for p in patterns for m in p.finditer(head) if m.end() > m.start()):
@@ -107,7 +130,7 @@ def mark(text: str, patterns: list[re.Pattern], longest: int) -> str:
             spans.append([a, b])
     out, at = [], 0
     for a, b in spans:
-        out += [head[at:a], "<mark>", head[a:b], "</mark>"]
+        out += [text[at:a], "<mark>", text[a:b], "</mark>"]
         at = b
     return "".join([*out, text[at:]])
 

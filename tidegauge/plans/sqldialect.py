@@ -27,6 +27,23 @@ def _next(ts: list[str], i: int, step: int = 1) -> int:
     return i
 
 
+class Literals:
+    """Text literals taken out of a statement, so that no rewriting touches what they say; ``__lit0__`` and so on stand for them."""
+
+    def __init__(self) -> None:
+        self.texts: list[str] = []
+
+    def keep(self, text: str) -> str:
+        self.texts.append(text)
+        return f"__lit{len(self.texts) - 1}__"
+
+    def out(self, sql: str) -> str:
+        return "".join(self.keep(t) if t[0] in "'\"" and len(t) > 1 else t for t in tokens(sql))
+
+    def back(self, sql: str) -> str:
+        return re.sub(r"__lit(\d+)__", lambda m: self.texts[int(m[1])], sql)
+
+
 def _limit(sql: str) -> str:
     """LIMIT a, b as LIMIT b OFFSET a."""
     return re.sub(r"(?i)\blimit\s+(\d+)\s*,\s*(\d+)", r"LIMIT \2 OFFSET \1", sql)
@@ -36,11 +53,11 @@ def _xor(sql: str) -> str:
     return re.sub(r"(?i)(\([^()]*\)|\w+(?:\s*(?:=|<>|<|>|<=|>=)\s*(?:'[^']*'|\w+))?)\s+xor\s+(\([^()]*\)|\w+(?:\s*(?:=|<>|<|>|<=|>=)\s*(?:'[^']*'|\w+))?)", r"((\1) <> (\2))", sql)
 
 
-def _match(sql: str) -> str:
+def _match(sql: str, literals: Literals) -> str:
     """MATCH_PHRASE, MATCH_PHRASE_PREFIX, MATCH_PHRASE_EDGE, MATCH_ANY, MATCH_ALL as regular expressions over lower-case text."""
 
     def made(m: re.Match) -> str:
-        column, op, text = m[1], m[2].upper(), m[3][1:-1].replace("''", "'")
+        column, op, text = m[1], m[2].upper(), literals.texts[int(m[3])][1:-1].replace("''", "'")
         words = [re.escape(w) for w in re.findall(r"\w+", text.lower())]
         if not words:
             return "false"
@@ -48,9 +65,9 @@ def _match(sql: str) -> str:
         word = lambda w: rf"(^|\W){w}(\W|$)"
         pattern = {"MATCH_PHRASE": word(join), "MATCH_PHRASE_PREFIX": rf"(^|\W){join}", "MATCH_PHRASE_EDGE": join, "MATCH_ANY": word("(" + "|".join(words) + ")")}.get(op)
         patterns = [word(w) for w in words] if op == "MATCH_ALL" else [pattern]
-        return "(" + " AND ".join("lower({}) RLIKE r'{}'".format(column, p.replace("'", "''")) for p in patterns) + ")"
+        return "(" + " AND ".join("lower({}) RLIKE {}".format(column, literals.keep("r'" + p.replace("'", "''") + "'")) for p in patterns) + ")"
 
-    return re.sub(r"(?i)([\w.`\[\]']+)\s+(MATCH_PHRASE_PREFIX|MATCH_PHRASE_EDGE|MATCH_PHRASE|MATCH_ANY|MATCH_ALL)\s+('(?:[^']|'')*')", made, sql)
+    return re.sub(r"(?i)([\w.`\[\]']+)\s+(MATCH_PHRASE_PREFIX|MATCH_PHRASE_EDGE|MATCH_PHRASE|MATCH_ANY|MATCH_ALL)\s+__lit(\d+)__", made, sql)
 
 
 def _at_top(sql: str, words: str, begin: int = 0) -> int:
@@ -137,36 +154,119 @@ def object_paths(sql: str, objects: dict[str, str]) -> str:
 
 def spark_sql(sql: str, objects: dict[str, str] | None = None) -> str:
     """A text of the dialect as Spark SQL."""
-    out = sql.strip().rstrip(";")
-    for step in (_limit, _match, _joins, _functions, _lambdas, _xor, _qualify):
+    literals = Literals()
+    out = literals.out(sql.strip().rstrip(";"))
+    for step in (_limit, lambda x: _match(x, literals), _joins, _functions, _lambdas, _xor, _qualify):
         out = step(out)
-    return object_paths(out, objects or {})
+    return literals.back(object_paths(out, objects or {}))
+
+
+# Words that end a FROM clause, and words that can follow a relation without being its alias.
+_ENDS_FROM = frozenset("select where group order having limit offset qualify window union intersect except minus values cluster distribute sort".split())
+_NO_ALIAS = _ENDS_FROM | frozenset("join on using left right inner full cross outer semi anti natural lateral tablesample pivot unpivot for timestamp version".split())
+_NO_RELATION = frozenset("select with values from lateral table".split())
 
 
 def inject(sql: str, table: str, condition: str) -> str:
-    """The same query where every use of ``table``, in subqueries too, sees only the rows of ``condition``."""
-    pattern = rf"(?i)\b(from|join)\s+(`?{re.escape(table)}`?)(?!\w)(\s+(?:as\s+)?(?!where\b|join\b|on\b|group\b|order\b|limit\b|left\b|right\b|inner\b|full\b|cross\b|having\b|union\b|using\b|lateral\b|semi\b|anti\b|qualify\b|except\b|intersect\b|minus\b|tablesample\b)\w+)?"
-    return re.sub(pattern, lambda m: f"{m[1]} (SELECT * FROM {m[2]} WHERE {condition}){m[3] or ' AS ' + table}", sql)
+    """The same query where every use of ``table`` sees only the rows of ``condition``: after FROM, JOIN, TABLE or a comma, in brackets, in subqueries and in common table
+    expressions, with or without a qualifier or backquotes. Not touched are literals, comments, columns, other tables, table functions, and names that a common table expression has taken."""
+    ts = [t for t in tokens(sql)]
+    out: list[str] = []
+    # Of each open bracket: whether a FROM clause is open, whether a relation comes next, names that CTEs have taken, whether a WITH list is open, the CTE being defined in it, the word before, and the word that the bracket follows.
+    frames = [{"from": False, "next": False, "taken": frozenset(), "with": False, "cte": None, "word": "", "call": ""}]
+    i = 0
+    plain = lambda t: t.strip("`").lower()
+    while i < len(ts):
+        t, f = ts[i], frames[-1]
+        low = t.lower()
+        if t.isspace():
+            out.append(t)
+        elif t == "(":
+            j = _next(ts, i)
+            inner = ts[j].lower() if j < len(ts) else ""
+            relation = f["next"] and inner not in _NO_RELATION
+            frames.append({"from": relation, "next": relation, "taken": f["taken"], "with": False, "cte": None, "word": "", "call": f["word"]})
+            f["next"] = False
+            out.append(t)
+        elif t == ")":
+            if len(frames) > 1:
+                frames.pop()
+            f = frames[-1]
+            if f["with"] and f["cte"] and f["defined"]:
+                f["taken"], f["cte"] = f["taken"] | {f["cte"]}, None
+            out.append(t)
+        elif t == ",":
+            f["next"] = f["from"]
+            out.append(t)
+        elif low == "with" and not f["from"]:
+            f["with"], f["cte"] = True, None
+            out.append(t)
+        elif f["with"] and f["cte"] is None and low not in ("recursive",) and re.match(r"[\w`]", t) and low not in ("select", "from", "values", "table"):
+            f["cte"], f["defined"] = plain(t), False
+            out.append(t)
+        elif f["with"] and low == "as":
+            f["defined"] = True
+            out.append(t)
+        elif low in ("from", "join", "table"):
+            before = ts[_next(ts, i, -1)].lower() if _next(ts, i, -1) >= 0 else ""
+            function = f["call"] in ("extract", "trim", "substring", "substr", "overlay", "position") and len(frames) > 1 and not f["from"]
+            if not (low == "from" and (before == "distinct" and ts[_next(ts, _next(ts, i, -1), -1)].lower() in ("is", "not") or function)):
+                f["from"] = f["next"] = True
+                f["with"] = False
+            out.append(t)
+        elif low in _ENDS_FROM:
+            f["from"] = f["next"] = f["with"] = False
+            out.append(t)
+        elif f["next"] and low == "lateral":
+            f["next"] = False
+            out.append(t)
+        elif f["next"] and re.match(r"[\w`]", t):
+            f["next"] = False
+            last = i
+            while (j := _next(ts, last)) < len(ts) and ts[j] == "." and (k := _next(ts, j)) < len(ts):
+                last = k
+            name = "".join(ts[i : last + 1])
+            after = _next(ts, last)
+            following = ts[after].lower() if after < len(ts) else ""
+            mine = plain(ts[last]) == table.lower() and following != "(" and not (last == i and plain(t) in f["taken"])
+            if mine:
+                has_alias = following == "as" or re.match(r"[a-z_`]", following) and following not in _NO_ALIAS
+                alias = "" if has_alias or following == "tablesample" else f" AS {ts[last]}"
+                out.append(f"(SELECT * FROM {name} WHERE {condition}){alias}")
+            else:
+                out.append(name)
+            i = last
+        else:
+            out.append(t)
+        if re.match(r"\w", t):
+            frames[-1]["word"] = low
+        elif not t.isspace() and t != "(":
+            frames[-1]["word"] = ""
+        i += 1
+    return "".join(out)
 
 
 def clamp_limit(sql: str, most: int) -> str:
-    """The outermost LIMIT at most ``most``; one is added if there is none."""
-    m = re.search(r"(?is)\blimit\s+(\d+)(\s+offset\s+\d+)?\s*$", sql.strip())
+    """The outermost LIMIT at most ``most``; one is added if there is none. Comments are left out."""
+    sql = "".join(tokens(sql)).strip()
+    m = re.search(r"(?is)\blimit\s+(\d+)(\s+offset\s+\d+)?\s*$", sql)
     if not m:
-        return f"{sql.strip()} LIMIT {most}"
-    return sql.strip()[: m.start()] + f"LIMIT {min(int(m[1]), most)}{m[2] or ''}"
+        return f"{sql} LIMIT {most}"
+    return sql[: m.start()] + f"LIMIT {min(int(m[1]), most)}{m[2] or ''}"
 
 
 # Statements that a query engine of this kind reads but doesn't run.
 _REFUSED = ("insert", "update", "delete", "drop", "alter", "truncate", "export", "load", "grant", "revoke", "create")
 
 
-def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, objects: dict[str, str] | None = None, most: int | None = None) -> DataFrame:
-    """Run a query of the dialect; statements that change data are refused."""
-    word = re.match(r"\s*(\w+)", sql)
-    if word and word[1].lower() in _REFUSED:
-        raise PermissionError(f"{word[1].upper()} isn't a query")
+def run(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, objects: dict[str, str] | None = None, most: int | None = None, filters: dict[str, str] | None = None) -> DataFrame:
+    """Run a query of the dialect; statements that change data are refused. ``filters``: conditions that hold wherever a table is used. ``most``: so many rows at most, whatever the text says."""
+    ts = [t for t in tokens(sql) if not t.isspace()]
+    if ts and ts[0].lower() in _REFUSED:
+        raise PermissionError(f"{ts[0].upper()} isn't a query")
     for name, df in (tables or {}).items():
         df.createOrReplaceTempView(name)
-    text = spark_sql(sql, objects)
-    return spark.sql(clamp_limit(text, most) if most else text)
+    for name, condition in (filters or {}).items():
+        sql = inject(sql, name, condition)
+    out = spark.sql(spark_sql(sql, objects))
+    return out.limit(most) if most is not None else out

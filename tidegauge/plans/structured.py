@@ -153,7 +153,7 @@ def run_reference(catalog: Catalog, request: Request, fill: bool = False) -> Dat
 
 
 def run_raw(catalog: Catalog, request: Request, highlight_fields: list[str] | None = None, keywords: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """Raw rows of all queries, merged, ordered and cut; and the errors of sources that failed."""
+    """Raw rows of all queries, merged, ordered, and cut where the request has a limit; and the errors of sources that failed."""
 
     def load(q: Query) -> DataFrame:
         df = catalog.scan(q.table, request.start, request.end, q.groups)
@@ -165,9 +165,11 @@ def run_raw(catalog: Catalog, request: Request, highlight_fields: list[str] | No
     done, errors = partial({q.table: (lambda q=q: load(q)) for q in request.queries})
     columns = list(dict.fromkeys(c for d in done for c in d.columns))
     rows = union_all(done, columns) if len(done) > 1 else done[0]
-    limit, offset = compose_limits((request.queries[0].limit, request.queries[0].offset), (request.limit, request.offset))
+    limit, offset = compose_limits((request.queries[0].limit, request.queries[0].offset), (request.limit, request.offset), None)
     order = ordering(rows, request.order, {"_time": "_time"}) if request.order else []
-    out = rows.orderBy(*order).offset(offset).limit(limit) if order else rows.offset(offset).limit(limit)
+    out = rows.orderBy(*order) if order else rows
+    out = out.offset(offset) if offset else out
+    out = out if limit is None else out.limit(limit)
     return (highlight(out, highlight_fields, keywords or []) if highlight_fields else out), errors
 
 
@@ -187,8 +189,10 @@ def tag_keys(catalog: Catalog, table: str) -> list[str]:
     return sorted(catalog[table].tags)
 
 
-def tag_values(catalog: Catalog, table: str, tag: str, start: int, end: int, limit: int = 1000) -> DataFrame:
-    return catalog.scan(table, start, end).select(F.col(tag).cast("string").alias("value")).where("value is not null").distinct().orderBy("value").limit(limit)
+def tag_values(catalog: Catalog, table: str, tag: str, start: int, end: int, limit: int | None = None) -> DataFrame:
+    """Distinct values of a tag, all of them unless a ``limit`` is asked for (then the first in order)."""
+    values = catalog.scan(table, start, end).select(F.col(tag).cast("string").alias("value")).where("value is not null").distinct()
+    return values if limit is None else values.orderBy("value").limit(limit)
 
 
 def series_list(catalog: Catalog, table: str, start: int, end: int) -> DataFrame:

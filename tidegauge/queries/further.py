@@ -390,7 +390,7 @@ def _(spark, folder):
 @q("e34_topology_json", "SELECT n_nationkey, '{\"region\":\"' || n_regionkey || '\"}' AS bk_cmdb_level FROM nation")
 def _(spark, folder):
     df = table(spark, folder, "nation").select("n_nationkey", F.create_map(F.lit("region"), F.col("n_regionkey").cast("string")).alias("levels"))
-    return etl.level_as_json(df, "levels").drop("levels")
+    return etl.level_as_json(df, "levels", "bk_cmdb_level").drop("levels")
 
 
 @q("e42_terminating_pods", "SELECT count(*) AS changes FROM (SELECT user_id, bad, lag(bad, 1, false) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM (SELECT user_id, event_id, event_type = 'error' AS bad FROM events)) WHERE bad <> before")

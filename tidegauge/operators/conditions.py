@@ -204,3 +204,30 @@ def as_matcher(c: Condition) -> tuple[str, str, str]:
     if single:
         return c.name, "=" if positive else "!=", str(c.values[0])
     return c.name, "=~" if positive else "!~", "^(" + "|".join(re.escape(str(v)) for v in c.values) + ")$"
+
+
+def whole_term(c: Column, pattern: str) -> Column:
+    """A search engine's regexp: it must match the whole term, so anchors at its ends say nothing new; a leading negative look-ahead, which such engines don't know, is a second condition that must not hold at the term's beginning."""
+    body = re.sub(r"(?<!\\)\$$", "", pattern.removeprefix("^"))
+    refused: list[str] = []
+    while body.startswith("(?!"):
+        depth, i, in_class = 0, 0, False
+        while i < len(body):
+            ch = body[i]
+            if ch == "\\":
+                i += 1
+            elif in_class:
+                in_class = ch != "]"
+            elif ch == "[":
+                in_class = True
+            elif ch in "()":
+                depth += 1 if ch == "(" else -1
+                if not depth:
+                    break
+            i += 1
+        if i >= len(body):
+            raise ValueError(f"a bracket isn't closed: {pattern!r}")
+        refused.append(body[3:i])
+        body = body[i + 1 :]
+    hit = c.rlike(f"(?s)^(?:{body})$")
+    return reduce(lambda a, r: a & ~c.rlike(f"(?s)^(?:{r})"), refused, hit)

@@ -111,7 +111,8 @@ def coerce(c: Column, declared: str, strict: bool = False) -> Column:
         return F.when(t.isin("1", "true", "t", "yes", "y"), True).when(t.isin("0", "false", "f", "no", "n"), False)
     if declared in ("int", "uint"):
         c = F.regexp_replace(F.trim(c.cast("string")), r"\.\d*$", "")
-    return c.cast(TYPES[declared]) if strict else c.try_cast(TYPES[declared])
+    made = c.cast(TYPES[declared]) if strict else c.try_cast(TYPES[declared])
+    return F.when(~F.isnan(made), made) if declared == "float" else made  # what is no number is no figure
 
 
 # Records
@@ -374,3 +375,45 @@ def split_valid(df: DataFrame, time: str, metrics: str, dimensions: str, lenient
     """Valid records, and the rejected ones."""
     ok = F.coalesce(valid_record(F.col(time), F.col(metrics), F.col(dimensions), lenient), F.lit(False))
     return df.where(ok), df.where(~ok)
+
+
+# Whole pipelines of logs
+
+def log_pipeline(df: DataFrame, line: str, how: str, fields: dict[str, str], at: Column | None = None, separator: str = "|", pattern: str = "", sources: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Log lines as clean records, and the rejected ones. ``how``: 'text' (the line is the field ``log``), 'json' (keys of the object), 'separator' (parts in the order of ``fields``), 'regexp' (named groups of ``pattern``).
+    ``fields`` declares each field's type; ``sources`` names the key or group it comes from where that isn't its own name.
+
+    A record is rejected if its line is null or blank, can't be parsed in that way, or (with ``at``) has no time; rejected rows are the input rows with ``reason``. Declared fields that can't be coerced are null. Columns of ``df`` with a declared field's name are replaced."""
+    names = list(fields)
+    parsed = df.withColumn("_row", F.struct(*[F.col(c) for c in df.columns]))
+    blank = F.col(line).isNull() | (F.trim(F.col(line)) == "")
+    come = {n: (sources or {}).get(n, n) for n in names}
+    if how == "text":
+        parsed = parsed.withColumns({"_p_log": F.col(line), "_failed": F.lit(False)})
+        come = {n: "log" for n in names}
+    elif how == "json":
+        parsed = json_with_rest(parsed.withColumn("_l", F.col(line)), "_l", [])
+        m = F.from_json(F.col("_l"), "map<string,string>")
+        parsed = parsed.withColumns({f"_p_{k}": F.try_element_at(m, F.lit(k)) for k in set(come.values())}).withColumn("_failed", F.col("clean_failed"))
+    elif how == "separator":
+        parts = F.split(F.col(line), re.escape(separator), len(names))
+        parsed = parsed.withColumns({f"_p_{come[n]}": F.nullif(F.trim(F.get(parts, i)), F.lit("")) for i, n in enumerate(names)}).withColumn("_failed", F.size(parts) < len(names))
+    elif how == "regexp":
+        groups = {m: i + 1 for i, m in enumerate(re.findall(r"\(\?P?<(\w+)>", pattern))}
+        java = re.sub(r"\(\?P?<\w+>", "(", pattern)
+        parsed = parsed.withColumns({f"_p_{k}": F.regexp_extract(F.col(line), java, groups[k]) for k in set(come.values())}).withColumn("_failed", ~F.col(line).rlike(java))
+    else:
+        raise ValueError(f"no way of parsing: {how!r}")
+    if at is not None:
+        parsed = parsed.withColumn("time", at)
+    reason = F.when(blank, "blank").when(F.col("_failed"), "unparsed")
+    reason = reason.when(F.col("time").isNull(), "no time") if at is not None else reason
+    parsed = parsed.withColumn("_reason", reason)
+    kept = [F.col(f"_row.{c}").alias(c) for c in df.columns if c not in names and not (at is not None and c == "time")]
+    good = parsed.where("_reason is null").select(*kept, *([F.col("time")] if at is not None else []), *[coerce(F.col(f"_p_{come[n]}"), t).alias(n) for n, t in fields.items()])
+    return good, parsed.where("_reason is not null").select("_row.*", F.col("_reason").alias("reason"))
+
+
+def with_local_time(df: DataFrame, at: str, out: str = "local_time") -> DataFrame:
+    """The time injector: adds when a record was cleaned (ms) where it has no time of its own."""
+    return df.withColumn(out, F.coalesce(F.col(at).cast("long"), F.unix_millis(F.current_timestamp())))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.session import materialise
+from tidegauge.session import drop_path, materialise, scratch
 
 
 def ordering(df: DataFrame, keys: list[str], aliases: dict[str, str] | None = None) -> list[Column]:
@@ -192,3 +192,63 @@ def shaped(df: DataFrame, value: str = "v", nulls: float | None = None, keep_nan
     v = F.col(value)
     v = v if keep_nan else F.when(~F.isnan(v), v)
     return df.withColumn(value, F.coalesce(v, F.lit(nulls)) if nulls is not None else v)
+
+
+class ScrollSession:
+    """A scroll over a snapshot of rows: written once, parted into ``slices`` by hash of a key, each read page by page in order of the (unique) keys. One reader at a time holds a slice's lock; a session
+    that nobody has asked for ``ttl_s`` is closed and its snapshot deleted. Times are given by the caller (epoch seconds)."""
+
+    def __init__(self, df: DataFrame, keys: list[str], slices: int, ttl_s: int, now: float):
+        self.spark, self.keys, self.slices, self.ttl_s = df.sparkSession, keys, slices, ttl_s
+        self.path = scratch(self.spark, "scroll")
+        part = F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int")
+        df.withColumn("_slice", part).write.partitionBy("_slice").parquet(self.path)
+        self.schema, self.last, self.done, self.locked, self.until = df.schema, {}, set(), set(), now + ttl_s
+
+    def alive(self, now: float) -> bool:
+        return now <= self.until
+
+    def lock(self, number: int) -> bool:
+        """Whether the slice was free; it is the caller's now."""
+        free = number not in self.locked
+        self.locked.add(number)
+        return free
+
+    def unlock(self, number: int) -> None:
+        self.locked.discard(number)
+
+    def page(self, number: int, size: int, now: float) -> DataFrame | None:
+        """The next ``size`` rows of a slice; nothing once it is finished. Each call keeps the session alive."""
+        if not self.alive(now):
+            self.close()
+            raise TimeoutError("the scroll has expired")
+        if number in self.done or not 0 <= number < self.slices:
+            return None
+        self.until = now + self.ttl_s
+        kept = self.spark.read.parquet(self.path).where(F.col("_slice") == number).drop("_slice")
+        kept = kept if number not in self.last else after(kept, self.keys, self.last[number])
+        rows = materialise(page(kept.select(*self.schema.names), [F.col(k) for k in self.keys], 0, size), "page")
+        end = rows.orderBy(*[F.col(k).desc() for k in self.keys]).limit(1).collect()
+        count = rows.count()
+        if end:
+            self.last[number] = [end[0][k] for k in self.keys]
+        if count < size:
+            self.done.add(number)
+        return rows if count else None
+
+    def close(self) -> None:
+        drop_path(self.spark, self.path)
+
+
+def next_page(tables: dict[str, DataFrame], keys: list[str], cursors: dict[str, list | None], size: int) -> tuple[DataFrame | None, dict[str, list | None]]:
+    """Keyset paging over several tables: the next ``size`` rows of each behind its cursor (none yet: from the beginning; None: the table is finished and isn't asked), with ``__table``, and the new cursors."""
+    parts, new = [], dict(cursors)
+    for name, df in tables.items():
+        if name in cursors and cursors[name] is None:
+            continue
+        rest = after(df, keys, cursors[name]) if name in cursors else df
+        rows = materialise(page(rest, [F.col(k) for k in keys], 0, size), "page")
+        end = rows.orderBy(*[F.col(k).desc() for k in keys]).limit(1).collect()
+        new[name] = [end[0][k] for k in keys] if end and rows.count() == size else None
+        parts.append(rows.withColumn("__table", F.lit(name)))
+    return (reduce(DataFrame.unionByName, parts) if parts else None), new

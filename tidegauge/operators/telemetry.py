@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -216,6 +217,30 @@ def rate_limited(df: DataFrame, at_ms: str, per_second: int, key: str | None = N
     return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= per_second).drop("_k")
 
 
+def token_bucket(df: DataFrame, key: str, at_ms: str, rate: float, burst: float, order: list[str] | None = None) -> DataFrame:
+    """The rows a token bucket lets through: per key it starts with ``burst`` tokens and gains ``rate`` a second up to ``burst``; a row takes one, and is dropped if there is none. Rows of one time go by ``order``.
+
+    Whether a row passes depends on all rows of its key before it, so a key is one stream of sorted rows, of which the task holds a batch and the bucket's state. Null keys are a key; null times are dropped."""
+    names = df.columns
+    rows = df.where(F.col(at_ms).isNotNull()).withColumn("_k", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    at, last = names.index(at_ms), len(names)
+
+    def scan(batches):
+        now, tokens, seen = None, 0.0, 0
+        for batch in batches:
+            keep = []
+            for k, t in zip(batch.column(last).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if k != now:
+                    now, tokens, seen = k, burst, t
+                tokens = min(burst, tokens + (t - seen) / 1000.0 * rate)
+                seen = t
+                keep.append(tokens >= 1.0)
+                tokens -= keep[-1]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("_k").sortWithinPartitions("_k", at_ms, *(order or [])).mapInArrow(scan, df.schema)
+
+
 def split_text(df: DataFrame, column: str, separator: str = "\n") -> DataFrame:
     """A batch of lines as one row per line that isn't empty."""
     return df.select(*[c for c in df.columns if c != column], F.explode(F.split(F.col(column), separator)).alias(column)).where(F.col(column) != "")

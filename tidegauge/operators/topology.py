@@ -38,12 +38,18 @@ def session_windows(df: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:
     return df.groupBy(key, w).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def once(spans: DataFrame) -> DataFrame:
+    """One row per span: ids in lower case without outer blanks, of a span received repeatedly the first (by time of receipt, start, end and parent). Rows without an id are left out."""
+    rows = spans.withColumn("span_id", F.lower(F.trim("span_id"))).where("trace_id is not null and span_id is not null")
+    order = [F.col(c).asc_nulls_last() for c in ("time", "start_time", "end_time", "parent_span_id") if c in spans.columns]
+    return rows.withColumn("_k", F.row_number().over(W.partitionBy("trace_id", "span_id").orderBy(*order))).where("_k = 1").drop("_k")
+
+
 def with_depth(spans: DataFrame) -> DataFrame:
     """Distinct spans with depth (from true roots; orphans are roots) and preorder range. Spans on circles have depth -1."""
     tree = hierarchy(spans, "trace_id", "span_id", "parent_span_id")
     tree = tree.select(F.col("grp").alias("trace_id"), F.col("node").alias("span_id"), F.col("parent").alias("parent_id"), "root", "depth", "first", "last")
-    once = spans.withColumn("span_id", F.lower("span_id")).dropDuplicates(["trace_id", "span_id"]).drop("parent_span_id")
-    return once.join(tree, ["trace_id", "span_id"])
+    return once(spans).drop("parent_span_id").join(tree, ["trace_id", "span_id"])
 
 
 def trace_info(spans: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def component_flows(spans: DataFrame) -> DataFrame:
     """Flows from a service to what it calls without a span of its own: databases and queues by system."""
     a = lambda k: F.try_element_at("attributes", F.lit(k))
     target = F.coalesce(a("db.system"), a("messaging.system"))
-    rows = spans.dropDuplicates(["trace_id", "span_id"]).where(F.col("kind").isin(CLIENT, PRODUCER) & target.isNotNull())
+    rows = once(spans).where(F.col("kind").isin(CLIENT, PRODUCER) & target.isNotNull())
     return rows.select("trace_id", F.try_element_at("resource", F.lit("service.name")).alias("from_service"), target.alias("to_component"),
         (F.col("end_time") - F.col("start_time")).alias("duration"), (F.col("status.code") == 2).alias("error"))
 
@@ -152,8 +158,8 @@ def maybe_members(df: DataFrame, column: str, filter_: tuple[DataFrame, int]) ->
 
 # Topology of resources
 
-def resource_paths(edges: list[tuple[str, str]], source: str, target: str, longest: int = 6) -> list[list[str]]:
-    """All simple paths between two resource types, shorter ones first."""
+def resource_paths(edges: list[tuple[str, str]], source: str, target: str, longest: int | None = None) -> list[list[str]]:
+    """All simple paths between two resource types, shorter ones first; with ``longest`` those of at most so many links."""
     near: dict[str, set[str]] = {}
     for a, b in edges:
         near.setdefault(a, set()).add(b)
@@ -164,7 +170,7 @@ def resource_paths(edges: list[tuple[str, str]], source: str, target: str, longe
         if path[-1] == target:
             out.append(path)
             continue
-        if len(path) <= longest:
+        if longest is None or len(path) <= longest:
             queue.extend(path + [n] for n in sorted(near.get(path[-1], ())) if n not in path)
     return out
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.operators.conditions import field_of, java_regex, like_pattern, phrase
+from tidegauge.operators.conditions import field_of, java_regex, like_pattern, phrase, whole_term
 
 DEFAULT_FIELD = "log"
 _TOKEN = re.compile(
@@ -259,3 +259,27 @@ def to_search(text: str, default: str = DEFAULT_FIELD) -> dict:
         return {"match_phrase": {name: {"query": n.value}}}
 
     return node(parse(text))
+
+
+def search_condition(df: DataFrame, body: dict) -> Column:
+    """A search request body (bool, match_phrase, range, wildcard, regexp, exists) as a condition; null values match nothing, and no ``must_not`` refuses them."""
+    (kind, inner), = body.items()
+    known = lambda c: F.coalesce(c, F.lit(False))
+    if kind == "bool":
+        parts = [reduce(lambda a, b: a & b, [search_condition(df, x) for x in inner["must"]])] if inner.get("must") else []
+        parts += [reduce(lambda a, b: a | b, [search_condition(df, x) for x in inner["should"]])] if inner.get("should") else []
+        parts += [~search_condition(df, x) for x in inner.get("must_not", [])]
+        return reduce(lambda a, b: a & b, parts, F.lit(True))
+    if kind == "exists":
+        return F.col(inner["field"]).isNotNull()
+    (name, told), = inner.items()
+    column = F.col(name)
+    if kind == "range":
+        data = {f.name: f.dataType for f in df.schema.fields}[name]
+        ops = {"gt": lambda v: column > v, "gte": lambda v: column >= v, "lt": lambda v: column < v, "lte": lambda v: column <= v}
+        return known(reduce(lambda a, b: a & b, [ops[k](F.lit(_value(data, v))) for k, v in told.items()], column.isNotNull()))
+    if kind == "wildcard":
+        return known(column.cast("string").like(like_pattern(told["value"], wildcard=True)))
+    if kind == "regexp":
+        return known(whole_term(column.cast("string"), told["value"]))
+    return known(phrase(column.cast("string"), told["query"]))

@@ -258,7 +258,7 @@ def _(spark, folder):
     return topology.trace_info(table(spark, folder, "complex")).where("root_span_id is not null").agg(F.count(F.lit(1)).alias("traces"))
 
 
-@q("g12_component_flows", "SELECT from_service, to_component, count(*) AS n FROM (SELECT DISTINCT ON (trace_id, span_id) resource['service.name'] AS from_service, coalesce(attributes['db.system'], attributes['messaging.system']) AS to_component, kind FROM complex) WHERE kind IN (3, 4) AND to_component IS NOT NULL GROUP BY 1, 2")
+@q("g12_component_flows", "SELECT from_service, to_component, count(*) AS n FROM (SELECT DISTINCT ON (trace_id, lower(trim(span_id))) resource['service.name'] AS from_service, coalesce(attributes['db.system'], attributes['messaging.system']) AS to_component, kind FROM complex) WHERE kind IN (3, 4) AND to_component IS NOT NULL GROUP BY 1, 2")
 def _(spark, folder):
     return topology.component_flows(table(spark, folder, "complex")).groupBy("from_service", "to_component").agg(F.count(F.lit(1)).alias("n"))
 

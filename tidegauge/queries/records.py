@@ -148,7 +148,7 @@ def _(spark, folder):
     return etl.discovered(df, "m", "d").select("metric", "dimension", "n_values")
 
 
-@q("e37_host_cpu", "SELECT rec_id, bkmonitorbeat.hostname AS hostname, ip, data.cpu.total_usage AS usage FROM net_test_data")
+@q("e37_host_cpu", "SELECT rec_id, bkmonitorbeat.hostname AS hostname, ip, CASE WHEN NOT isnan(data.cpu.total_usage) THEN data.cpu.total_usage END AS usage FROM net_test_data")
 def _(spark, folder):
     df = table(spark, folder, "net_test_data").select("rec_id", F.col("bkmonitorbeat.hostname").alias("hostname"), "ip", F.col("data.cpu.total_usage").alias("usage"))
     return etl.declared_only(df, {"rec_id": "int", "hostname": "string", "ip": "string", "usage": "float"})

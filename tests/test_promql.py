@@ -184,3 +184,17 @@ def test_parser():
     for bad in ("sum(", "a{b}", "a[5m", "{}", "topk(m)", "a b", "1 < 2 <", "a + [5m]"):
         with pytest.raises(PromQLError):
             parse(bad)
+
+
+def test_dense_samples_are_spread_as_panes(spark):
+    """Samples between two borders of windows are one row before they are copied into the windows."""
+    from pyspark.sql import functions as F
+
+    from tidegauge.plans.promql.planner import Evaluation
+
+    df = spark.range(6000).select(F.create_map(F.lit("__name__"), F.lit("m")).alias("labels"), (F.col("id") * 100).alias("t"), (F.col("id") % 700).cast("double").alias("v"))
+    e = Evaluation(df, 60_000, 600_000, 60_000, 300_000)
+    node = parse("sum_over_time(m[2m])").args[0]
+    assert e.windows(node, True).count() <= 6 * 10 < e.windows(node).count() / 100
+    got = {r.t: r.v for r in evaluate(df, "sum_over_time(m[2m])", 60_000, 600_000, 60_000).collect()}
+    assert got == {t: float(sum(i % 700 for i in range(6000) if t - 120_000 <= i * 100 <= t)) for t in range(60_000, 600_001, 60_000)}

@@ -81,10 +81,14 @@ class Evaluation:
     def _all_times(self) -> Column:
         return F.explode(F.sequence(F.lit(self.start).cast("long"), F.lit(self._last).cast("long"), F.lit(self.step).cast("long")))
 
+    def _reach(self, low: Column, high: Column) -> tuple[Column, Column]:
+        """The first and last evaluation time in [low, high]; none if the first is later."""
+        first = F.greatest(F.lit(0), F.ceil((low - self.start) / F.lit(self.step))).cast("long") * self.step + self.start
+        return first, (F.floor((F.least(high, F.lit(self._last)) - self.start) / F.lit(self.step))).cast("long") * self.step + self.start
+
     def _spread(self, low: Column, high: Column) -> Column:
         """The evaluation times in [low, high]."""
-        first = F.greatest(F.lit(0), F.ceil((low - self.start) / F.lit(self.step))).cast("long") * self.step + self.start
-        last = (F.floor((F.least(high, F.lit(self._last)) - self.start) / F.lit(self.step))).cast("long") * self.step + self.start
+        first, last = self._reach(low, high)
         return F.explode(F.when(first <= last, F.sequence(first, last, F.lit(self.step).cast("long"))).otherwise(F.array().cast("array<long>")))
 
     # Selectors
@@ -115,11 +119,14 @@ class Evaluation:
         value = (F.col("t") - n.offset_ms) / 1000.0 if stamps else F.col("v")
         return s.select("labels", "key", value.alias("v"), self._spread(F.col("t"), F.col("until")).alias("at")).withColumnRenamed("at", "t")
 
-    def windows(self, n: Node) -> DataFrame:
-        """Samples of a range selector or subquery, each with its predecessor, once per window that holds it: ``labels, key, t, ts, v, pt, pv``."""
+    def windows(self, n: Node, panes: bool = False) -> DataFrame:
+        """Samples of a range selector or subquery, each with its predecessor, once per window that holds it: ``labels, key, t, ts, v, pt, pv``.
+
+        With ``panes``, samples that lie in the same windows are one row (see ``_pane``), which is copied instead of them: a series' rows are then bounded by its evaluation times, however densely it is sampled.
+        Neither needs a further shuffle: rows lie by series already."""
         if (pinned := self._pinned(n)) is not None:
             free = Node(n.kind, n.value, n.args, n.matchers, n.range_ms, n.step_ms, n.offset_ms)
-            return pinned.windows(free).drop("t").select("*", self._all_times().alias("t"))
+            return pinned.windows(free, panes).drop("t").select("*", self._all_times().alias("t"))
         if n.kind == "subquery":
             step = n.step_ms or self.step
             low = self.start - n.offset_ms - n.range_ms
@@ -131,6 +138,11 @@ class Evaluation:
             raise PromQLError("a range is needed here")
         order = W.partitionBy("key").orderBy("t")
         s = s.withColumns({"pt": F.lag("t").over(order), "pv": F.lag("v").over(order)})
+        if panes:
+            low, high = self._reach(F.col("t"), F.col("t") + n.range_ms)
+            held = s.select("labels", "key", F.col("t").alias("ts"), "v", "pv", low.alias("low_t"), high.alias("high_t")).where("low_t <= high_t")
+            held = held.groupBy("key", "low_t", "high_t").agg(F.first("labels").alias("labels"), *[c.alias(name) for name, c in _pane().items()])
+            return held.select("*", F.explode(F.sequence("low_t", "high_t", F.lit(self.step).cast("long"))).alias("t"))
         return s.select("labels", "key", F.col("t").alias("ts"), "v", "pt", "pv", self._spread(F.col("t"), F.col("t") + n.range_ms).alias("t"))
 
     # Values
@@ -337,7 +349,7 @@ class Evaluation:
     def _range_call(self, name: str, args: list[Node]) -> DataFrame:
         at = {"quantile_over_time": 1}.get(name, 0)
         n = args[at]
-        df = self.windows(n)
+        df = self.windows(n, name in PANE_FUNCTIONS)
         if name == "absent_over_time":
             return self._absent(n, df)
         grouped = df.groupBy("key", "t")
@@ -351,7 +363,7 @@ class Evaluation:
             out = grouped.agg(labels, F.array_sort(F.collect_list(F.struct("ts", "v"))).alias("x")).where(F.size("x") >= 2)
             out = out.withColumn("v", _holt_winters(F.col("x"), *[self._number(a) for a in args[1:3]]))
         else:
-            made, condition = RANGE_FUNCTIONS[name](n.range_ms)
+            made, condition = (PANE_FUNCTIONS.get(name) or RANGE_FUNCTIONS[name])(n.range_ms)
             out = grouped.agg(labels, made.alias("v"), condition.alias("ok")).where("ok")
         if name == "last_over_time":
             return out.select("labels", "key", "t", "v")
@@ -432,9 +444,24 @@ def _holt_winters(x: Column, sf: float, tf: float) -> Column:
     return F.aggregate(F.slice(x, 2, F.size(x)), state, step)["s1"]
 
 
+def _pane() -> dict[str, Column]:
+    """What the samples of a pane (or a single one) come to, so that panes add up to windows: count, sum, extremes, first and last, and what happened between neighbours, with the share of the first sample apart."""
+    ts, v, pv = F.col("ts"), F.col("v"), F.col("pv")
+    real = F.when(~F.isnan(v), v)
+    happened = {"lost": F.when(v < pv, pv).otherwise(0.0), "resets": F.when(v < pv, 1).otherwise(0), "changes": F.when(v != pv, 1).otherwise(0)}
+    out = {"n": F.count(F.lit(1)), "total": F.sum(v), "least": F.min(real), "most": F.max(real), "first_t": F.min(ts), "last_t": F.max(ts), "first": F.min_by(v, ts), "last": F.max_by(v, ts)}
+    for name, c in happened.items():
+        out |= {name: F.sum(c), f"{name}_first": F.min_by(c, ts)}
+    return out
+
+
 def _ends() -> dict[str, Column]:
-    ts = F.col("ts")
-    return {"n": F.count(F.lit(1)), "first_t": F.min(ts), "last_t": F.max(ts), "first": F.min_by("v", "ts"), "last": F.max_by("v", "ts")}
+    return {"n": F.sum("n"), "first_t": F.min("first_t"), "last_t": F.max("last_t"), "first": F.min_by("first", "first_t"), "last": F.max_by("last", "last_t")}
+
+
+def _between(name: str) -> Column:
+    """What happened between neighbours inside a window: all of it, but for the share of the window's first sample."""
+    return F.sum(name) - F.min_by(f"{name}_first", "first_t")
 
 
 def _extrapolated(counter: bool, per_second: bool) -> Callable[[int], tuple[Column, Column]]:
@@ -444,8 +471,7 @@ def _extrapolated(counter: bool, per_second: bool) -> Callable[[int], tuple[Colu
         e, t = _ends(), F.first("t")
         growth = e["last"] - e["first"]
         if counter:  # what was lost by resets, but for the one before the window's first sample
-            reset = F.when(F.col("v") < F.col("pv"), F.col("pv")).otherwise(0.0)
-            growth = growth + F.sum(reset) - F.min_by(reset, F.col("ts"))
+            growth = growth + _between("lost")
         sampled = (e["last_t"] - e["first_t"]) / 1000.0
         between = sampled / (e["n"] - 1)
         before, behind = (e["first_t"] - (t - range_ms)) / 1000.0, (t - e["last_t"]) / 1000.0
@@ -471,11 +497,6 @@ def _last_two(per_second: bool) -> Callable[[int], tuple[Column, Column]]:
     return made
 
 
-def _counting(flag: Callable[[], Column]) -> Callable[[int], tuple[Column, Column]]:
-    """How often something holds between neighbours inside the window."""
-    return lambda _: ((F.sum(flag()) - F.min_by(flag(), F.col("ts"))).cast("double"), F.lit(True))
-
-
 def _simple(fn: Callable[[Column], Column]) -> Callable[[int], tuple[Column, Column]]:
     return lambda _: (fn(F.col("v")).cast("double"), F.lit(True))
 
@@ -485,13 +506,17 @@ def _deriv(_: int) -> tuple[Column, Column]:
     return slope, n >= 2
 
 
-RANGE_FUNCTIONS: dict[str, Callable[[int], tuple[Column, Column]]] = {
+# Functions that are put together from panes.
+PANE_FUNCTIONS: dict[str, Callable[[int], tuple[Column, Column]]] = {
     "rate": _extrapolated(True, True), "increase": _extrapolated(True, False), "delta": _extrapolated(False, False),
-    "irate": _last_two(True), "idelta": _last_two(False), "deriv": _deriv,
-    "changes": _counting(lambda: F.when(F.col("v") != F.col("pv"), 1).otherwise(0)), "resets": _counting(lambda: F.when(F.col("v") < F.col("pv"), 1).otherwise(0)),
-    "avg_over_time": _simple(F.avg), "sum_over_time": _simple(F.sum), "min_over_time": _simple(lambda v: _least(v, F.min)), "max_over_time": _simple(lambda v: _least(v, F.max)),
-    "count_over_time": _simple(lambda v: F.count(F.lit(1))), "stddev_over_time": _simple(F.stddev_pop), "stdvar_over_time": _simple(F.var_pop),
-    "last_over_time": lambda _: (F.max_by("v", "ts"), F.lit(True)), "present_over_time": lambda _: (F.lit(1.0), F.lit(True)),
+    "changes": lambda _: (_between("changes").cast("double"), F.lit(True)), "resets": lambda _: (_between("resets").cast("double"), F.lit(True)),
+    "avg_over_time": lambda _: (F.sum("total") / F.sum("n"), F.lit(True)), "sum_over_time": lambda _: (F.sum("total"), F.lit(True)), "count_over_time": lambda _: (F.sum("n").cast("double"), F.lit(True)),
+    "min_over_time": lambda _: (F.coalesce(F.min("least"), F.lit(NAN)), F.lit(True)), "max_over_time": lambda _: (F.coalesce(F.max("most"), F.lit(NAN)), F.lit(True)),
+    "last_over_time": lambda _: (F.max_by("last", "last_t"), F.lit(True)), "present_over_time": lambda _: (F.lit(1.0), F.lit(True)),
+}
+# Functions that need the samples of each window.
+RANGE_FUNCTIONS: dict[str, Callable[[int], tuple[Column, Column]]] = {
+    **PANE_FUNCTIONS, "irate": _last_two(True), "idelta": _last_two(False), "deriv": _deriv, "stddev_over_time": _simple(F.stddev_pop), "stdvar_over_time": _simple(F.var_pop),
 }
 
 
